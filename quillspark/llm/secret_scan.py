@@ -168,7 +168,8 @@ def _lists(query) -> Column:
 def candidates(index: DataFrame, queries: dict[str, object]) -> DataFrame:
     """doc_id, kinds: the rules whose query a document satisfies."""
     blocks = index.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "doc_ids"))).alias("lists"))
-    each = F.flatten(F.array(*[F.transform(_lists(q), lambda d, k=k: F.struct(d.alias("doc_id"), F.lit(k).alias("kind"))) for k, q in queries.items()]))
+    named = lambda k: lambda d: F.struct(d.alias("doc_id"), F.lit(k).alias("kind"))
+    each = F.flatten(F.array(*[F.transform(_lists(q), named(k)) for k, q in queries.items()]))
     return blocks.select(F.inline(each)).groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
 
 
