@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, secret_scan
+from . import bpe, exact_dedup, secret_scan
 
 MODULES = {
+    "op1_bpe": bpe,
     "op7_exact_dedup": exact_dedup,
     "op10_secret_scan": secret_scan,
 }
