@@ -34,8 +34,8 @@ MOST_PIECES = 600_000
 BATCH_CHARS = 4_000_000
 #: Pieces of more bytes have a tree of their own.
 SIDE_BY_SIDE = 64
-#: Characters whose lower case, composition and class are the same in all Unicode versions in use.
-KNOWN = regex.compile(r"[^\t-\r\x20-\x7e\x85\xa0-ɏ‐- ]")
+#: The others are characters whose lower case, composition and class are the same in all Unicode versions in use.
+KNOWN = regex.compile(r"[^\t-\r\x20-\x7e\x85\xa0-ɏ‐-‧‰-⁞]")
 
 
 #: The pre-tokenizer pattern that known_cut() stands for on KNOWN characters.
@@ -211,14 +211,13 @@ class Encoder:
 
     def normalised(self, text: str) -> str:
         """As the vocabulary's own normalizer; quick where Python's tables agree with it."""
-        if text.isascii() or not KNOWN.search(text):
-            if not regex.search(r"[\x1c-\x1f]", text):
-                return unicodedata.normalize("NFC", text).lower()
+        if not KNOWN.search(text):
+            return unicodedata.normalize("NFC", text).lower()
         return self.library.normalizer.normalize_str(text)
 
     def pieces(self, text: str) -> list[str]:
         """A normalised text cut as the vocabulary's pre-tokenizer cuts it."""
-        if text.isascii() or not KNOWN.search(text):
+        if not KNOWN.search(text):
             return self.cut.findall(text)
         back = {c: b for b, c in enumerate(_byte_characters())}
         return [bytes([back[c] for c in p]).decode() for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
