@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, secret_scan
+from . import bpe, exact_dedup, packing, secret_scan
 
 MODULES = {
     "op1_bpe": bpe,
+    "op5_packing": packing,
     "op7_exact_dedup": exact_dedup,
     "op10_secret_scan": secret_scan,
 }
