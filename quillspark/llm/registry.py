@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, html_text, packing, secret_scan, url_rules
+from . import bpe, exact_dedup, html_text, media, packing, secret_scan, url_rules
 
 MODULES = {
     "op1_bpe": bpe,
     "op2_html_text": html_text,
     "op3_url_rules": url_rules,
+    "op4_media": media,
     "op5_packing": packing,
     "op7_exact_dedup": exact_dedup,
     "op10_secret_scan": secret_scan,
