@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, html_text, media, packing, secret_scan, toxicity, url_rules
+from . import bpe, exact_dedup, html_text, media, packing, quality, secret_scan, toxicity, url_rules
 
 MODULES = {
     "op1_bpe": bpe,
@@ -10,6 +10,7 @@ MODULES = {
     "op3_url_rules": url_rules,
     "op4_media": media,
     "op5_packing": packing,
+    "op6_quality": quality,
     "op7_exact_dedup": exact_dedup,
     "op9_toxicity": toxicity,
     "op10_secret_scan": secret_scan,
