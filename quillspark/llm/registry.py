@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, html_text, media, packing, quality, secret_scan, toxicity, url_rules
+from . import bpe, exact_dedup, html_text, media, near_dedup, packing, quality, secret_scan, toxicity, url_rules
 
 MODULES = {
     "op1_bpe": bpe,
@@ -12,8 +12,18 @@ MODULES = {
     "op5_packing": packing,
     "op6_quality": quality,
     "op7_exact_dedup": exact_dedup,
+    "op8_near_dedup": near_dedup,
     "op9_toxicity": toxicity,
     "op10_secret_scan": secret_scan,
 }
-QUERIES = {name: m.query for name, m in MODULES.items()}
+
+
+def pipeline(spark, sf_dir: str):
+    """The corpus pipeline at the top of the repository, which is part of this subpackage."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {name: m.query for name, m in MODULES.items()} | {"pipeline": pipeline}
 ORACLES = {name: m.ORACLE for name, m in MODULES.items() if getattr(m, "ORACLE", None)}
