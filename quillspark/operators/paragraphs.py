@@ -19,8 +19,16 @@ LABEL, REFERENCES_HEADING = r"^(?:Table|Figure)\s+\d+\s*$", r"^\s*references?\s*
 LONGEST_HEADING = 200
 
 COLUMNS = "doc_id idx style r m level is_ref page para_on_page is_list indent has_format italic_ok italic_excerpt".split()
-ORDER = Window.partitionBy("doc_id").orderBy("idx")
-SO_FAR = ORDER.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def in_doc():
+    """A document's paragraphs in order."""
+    return Window.partitionBy("doc_id").orderBy("idx")
+
+
+def so_far():
+    """A document's paragraphs up to the current one."""
+    return in_doc().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def mask(text: str) -> str:
@@ -45,9 +53,9 @@ def from_text(docs: DataFrame, separator: str = "\n\n") -> DataFrame:
     rows = parts.selectExpr("doc_id", "idx", f"{strip(chr(96) + 'part' + chr(96))} AS r").filter("r <> ''")
     rows = rows.withColumn("label", F.expr(has("r", LABEL, "i")))
     title = f"coalesce(before_label, false) AND length(r) <= {LONGEST_HEADING} AND NOT {has('r', SENTENCE_END)} AND NOT {has('r', PAREN_YEAR)}"
-    rows = rows.withColumn("before_label", F.lag("label").over(ORDER))
+    rows = rows.withColumn("before_label", F.lag("label").over(in_doc()))
     rows = rows.withColumn("level", F.expr(f"CASE WHEN label OR ({title}) THEN 0 WHEN {likely_heading('r')} THEN 1 END"))
-    rows = rows.withColumn("para_on_page", F.sum(F.col("level").isNull().cast("int")).over(SO_FAR).cast("int"))
+    rows = rows.withColumn("para_on_page", F.sum(F.col("level").isNull().cast("int")).over(so_far()).cast("int"))
     return rows.selectExpr(
         "doc_id", "idx", "IF(level = 1, 'Heading 1', 'Normal') AS style", "r", f"{mask('r')} AS m", "level", "false AS is_ref", "1 AS page", "para_on_page", "false AS is_list", "cast(null AS int) AS indent", "false AS has_format", "cast(null AS boolean) AS italic_ok", "'' AS italic_excerpt"
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.regex import has, lit, spans, strip
-from .paragraphs import ORDER
+from .paragraphs import in_doc
 from .rules import ERROR, WARNING
 
 # The patterns that define the entry rules.
@@ -68,7 +68,7 @@ def sort_key(text: str) -> str:
 def entry_findings(paragraphs: DataFrame) -> DataFrame:
     """One row per entry and rule; all rules of an entry are tested in one pass over its text."""
     rows = paragraphs.filter("is_ref").withColumn("key", F.expr(sort_key("r")))
-    rows = rows.withColumn("before", F.lag("key").over(ORDER))
+    rows = rows.withColumn("before", F.lag("key").over(in_doc()))
     one = lambda n, rule: f"IF({rule[3]}, named_struct('rule_id', '{rule[0]}', 'severity', '{rule[1]}', 'rank', {n}), null)"
     rows = rows.selectExpr("doc_id", "idx", "r", f"inline(array_compact(array({', '.join(one(n, r) for n, r in enumerate(ENTRY_RULES))})))")
     found = rows.selectExpr("doc_id", "idx", "4 AS stage", "rank", "0 AS nth", "rule_id", "severity", "0 AS s", "0 AS e", "'' AS match", "substring(r, 1, 80) AS excerpt")
