@@ -69,12 +69,14 @@ def meta_row(lang, source, n_chars) -> list[float]:
     return [*_slot(lang, 8), *_slot(source, SLOTS), math.log1p(max(0, n)), float(n < 0)]
 
 
+def _matrix(rows: list[list[float]]) -> np.ndarray:
+    return np.array(rows, float) if rows else np.zeros((0, 1))
+
+
 def _rows(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     none = [None] * len(frame)
     of = lambda c: [None if pd.isna(v) else v for v in frame[c]] if c in frame else none
-    a = np.array([text_row(t or "") for t in of("text")], float).reshape(len(frame), -1)
-    b = np.array([meta_row(*r) for r in zip(of("lang"), of("source"), of("n_chars"), strict=True)], float).reshape(len(frame), -1)
-    return a, b
+    return _matrix([text_row(t or "") for t in of("text")]), _matrix([meta_row(*r) for r in zip(of("lang"), of("source"), of("n_chars"), strict=True)])
 
 
 class Model:
@@ -156,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, pool: int = P
     got = labelled.unionByName(unlabelled).mapInPandas(run, "doc_id bigint, y double, a array<double>, b array<double>").collect()
     got = sorted(got, key=lambda r: (r["doc_id"], r["y"], r["a"]))
     y = np.array([r["y"] for r in got])
-    a, b = (np.array([r[c] for r in got], float).reshape(len(got), -1) for c in "ab")
+    a, b = (_matrix([r[c] for r in got]) for c in "ab")
     has = y >= 0
     doc = np.array([r["doc_id"] for r in got], np.int64)[has]
     hold = np.array([zlib.crc32(str(d).encode()) % HOLD == 0 for d in doc.tolist()], bool)
