@@ -29,9 +29,9 @@ from .common import keyed_texts, table
 
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces kept by an encoder; beyond it the memory starts anew.
-MOST_PIECES = 600_000
+MOST_PIECES = 200_000
 #: Characters of text that are encoded together.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_500_000
 #: Pieces of more bytes have a tree of their own.
 SIDE_BY_SIDE = 64
 #: The others are characters whose lower case, composition and class are the same in all Unicode versions in use.
@@ -136,7 +136,7 @@ class Encoder:
         return [s for s, a in zip(sym, alive, strict=True) if a]
 
     def _ranks(self, left, right):
-        k = left * self.size + right
+        k = left.astype(np.int64) * self.size + right
         at = np.searchsorted(self.keys, k)
         return np.where(self.keys[at] == k, self.order[at], self.nothing)
 
@@ -148,13 +148,13 @@ class Encoder:
         flat = np.frombuffer(b"".join(pieces), np.uint8)
         row = np.repeat(np.arange(rows), n)
         col = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-        sym = np.full((rows, width + 2), -1, np.int64)
+        sym = np.full((rows, width + 2), -1, np.int32)
         sym[row, col] = self.inner[flat]
         sym[np.arange(rows), n - 1] = self.final[flat[np.cumsum(n) - 1]]
-        after = np.tile(np.arange(1, width + 3), (rows, 1))
-        before = np.tile(np.arange(-1, width + 1), (rows, 1))
+        after = np.tile(np.arange(1, width + 3, dtype=np.int32), (rows, 1))
+        before = np.tile(np.arange(-1, width + 1, dtype=np.int32), (rows, 1))
         none = self.nothing * width
-        tree = np.full((rows, 2 * width), none, np.int64)
+        tree = np.full((rows, 2 * width), none, np.int32)
         held = (sym[:, :width] >= 0) & (sym[:, 1 : width + 1] >= 0)
         r = np.full(held.shape, self.nothing, np.int64)
         r[held] = self._ranks(sym[:, :width][held], sym[:, 1 : width + 1][held])

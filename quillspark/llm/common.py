@@ -12,6 +12,18 @@ from pyspark.sql import functions as F
 BROADCAST_IDS = 1_000_000
 
 
+#: Rows in an Arrow batch sent to Python; whole texts are long.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, once the session sends Python small batches, unless it was given a size of its own."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; set here only where the session names none (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -35,7 +47,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
     """Only doc_id and the whole text, null as empty; clashing extra columns are gone."""
-    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return small_batches(docs).select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
 def small(ids: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 WINDOW = 3
 #: A surge of a text outside article and main elements: so many characters in a window, or this share of the most.
@@ -147,7 +147,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
             texts = [main_text(h) for h in b.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
+    return small_batches(pages).select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Boosted, Isotonic, logit, sigmoid
-from .common import stored, table
+from .common import small_batches, stored, table
 from .toxicity import sample
 
 #: Labelled rows and rows of the unlabelled pool, at most; they are those of least hash.
@@ -137,7 +137,7 @@ def co_train(xa, xb, y, ua, ub, hold) -> Model:
 
 def _known(docs: DataFrame) -> DataFrame:
     have = [c for c in ("lang", "source", "n_chars") if c in docs.columns]
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *have)
+    return small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *have)
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, pool: int = POOL) -> Model:
