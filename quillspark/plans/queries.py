@@ -331,6 +331,100 @@ def link_tokens(spark, sf_dir):
 
 _TOKEN_SQL = "SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN sha256(rpad_(CAST(c_custkey AS VARCHAR))) END AS token_hash FROM customer".replace("rpad_(CAST(c_custkey AS VARCHAR))", "left(CAST(c_custkey AS VARCHAR) || repeat('aB_-', 11), 43)")
 
+# --- Word rows, pasted lists, targets, payments ---
+
+#: style, text, bold, italic, centred, page break, list item, left indent, and the level by style, format and text alone.
+WORD_ROWS = (
+    ("Heading 1", "Methods", False, False, False, False, False, None, 1), ("Normal", "Body text is here. It goes on.", False, False, False, True, False, None, None), ("Normal", "Sub head", True, False, False, False, False, None, 2),
+    ("Normal", "Low head", True, True, False, False, False, None, 3), ("Normal", "Top head", True, False, True, False, False, None, 1), ("Title", "A title", False, False, False, False, False, None, 0),
+    ("Normal", "Table 4", True, False, False, False, False, None, 0), ("Normal", "Means of all the groups in the study by year", False, False, False, False, False, None, None), ("Normal", "FIRST PART OF IT", False, False, False, False, False, None, 1),
+    ("Normal", "Quoted words stand apart. They do.", False, False, False, False, False, 720, None), ("Normal", "An item", False, False, False, False, True, None, 0), ("Normal", "", False, False, False, True, False, None, None),
+    ("Normal", "Lee, A. (2020). On rivers. Press and its friends of old.", False, False, False, False, False, None, None), ("Heading 1", "References", False, False, False, False, False, None, 1), ("Quote", "Set apart by style. It is.", False, False, False, False, False, None, None),
+)
+
+
+def word_structure(spark, sf_dir):
+    """Levels, pages and places of Word rows: orders of a customer are a file."""
+    kinds = spark.createDataFrame([(k, *r[:8]) for k, r in enumerate(WORD_ROWS)], "k int, style string, text string, all_bold boolean, all_italic boolean, centered boolean, page_break boolean, numbered boolean, left_indent int")
+    p = positions(spark, sf_dir, 1 << 20).withColumn("k", ((F.col("k") + F.col("idx") * 7) % len(WORD_ROWS)).cast("int"))
+    raw = p.join(F.broadcast(kinds), "k").withColumns({"in_table": F.lit(False), "indent": F.lit(None).cast("int"), "italic_ok": F.lit(None).cast("boolean"), "italic_excerpt": F.lit("")})
+    return structure.classified(raw).select("doc_id", "idx", F.coalesce("level", F.lit(-1)).alias("level"), "is_ref", "page", "para_on_page", "is_list")
+
+
+def _word_sql() -> str:
+    show = lambda v: "NULL" if v is None else quoted(v) if isinstance(v, str) else str(v)
+    values = ", ".join("(" + ", ".join(map(show, (k, r[0], r[1], r[5], r[6], r[7], r[8]))) + ")" for k, r in enumerate(WORD_ROWS))
+    return f"""WITH p0 AS ({PARAGRAPHS_SQL.format(k=1 << 20)}), t(k, style, body, brk, item, ind, l0) AS (VALUES {values}),
+a AS (SELECT doc_id, idx, style, body, brk, item, ind, CAST(l0 AS INTEGER) AS l0, CAST(1 + coalesce(sum(brk::INT) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS page FROM p0 JOIN t ON (p0.k + p0.idx * 7) % {len(WORD_ROWS)} = t.k),
+b AS (SELECT *, body = 'Table 4' AS label, body = 'References' AS head, coalesce(lag(body = 'Table 4') OVER w, false) AS after FROM a WHERE body <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY idx)),
+c AS (SELECT *, max(head::INT) OVER (PARTITION BY doc_id ORDER BY idx) AS inrefs, CASE WHEN after AND NOT item AND NOT regexp_matches(body, '[.!?]$') AND NOT regexp_matches(body, '\\(\\d{{4}}\\)') THEN 0 ELSE l0 END AS l1 FROM b),
+d AS (SELECT *, inrefs = 1 AND NOT head AND l1 IS NULL AS is_ref FROM c),
+e AS (SELECT * FROM d WHERE is_ref OR NOT (style = 'Quote' OR coalesce(ind, 0) >= 720)),
+f AS (SELECT *, min(idx) FILTER (style = 'Heading 1') OVER v AS fe, min(idx) FILTER (l1 IS NULL AND NOT is_ref) OVER v AS fb FROM e WINDOW v AS (PARTITION BY doc_id)),
+g AS (SELECT *, max(idx) FILTER (l1 >= 1 AND NOT is_ref AND idx < fb) OVER (PARTITION BY doc_id) AS lt FROM f),
+h AS (SELECT *, CASE WHEN l1 >= 1 AND NOT is_ref AND (CASE WHEN fe IS NOT NULL THEN idx < fe ELSE idx < lt END) THEN 0 ELSE l1 END AS level FROM g)
+SELECT doc_id, idx, coalesce(level, -1) AS level, is_ref, page, CAST(sum((is_ref OR h.level IS NULL)::INT) OVER (PARTITION BY doc_id, page ORDER BY idx) AS INTEGER) AS para_on_page, item AS is_list FROM h""".replace("\\\\", "\\")
+
+
+def paste_split(spark, sf_dir):
+    text = "concat(' Body of ', c_name, '.\\n', IF(c_custkey % 3 = 0, 'references ', c_name), '\\n', c_name, ', A. (2000). T.\\n')"
+    return paragraphs.split_pasted(table(spark, sf_dir, "customer").selectExpr("c_custkey AS doc_id", f"{text} AS text"))
+
+
+_PASTE_SQL = """SELECT c_custkey AS doc_id, 'Body of ' || c_name || '.' || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE chr(10) || c_name || chr(10) || c_name || ', A. (2000). T.' END AS body,
+CASE WHEN c_custkey % 3 = 0 THEN c_name || ', A. (2000). T.' ELSE '' END AS refs FROM customer"""
+
+
+def ref_text(spark, sf_dir):
+    return paragraphs.reference_text(_entries(spark, sf_dir))
+
+
+_REF_TEXT_SQL = f"""WITH t(idx, body) AS (VALUES {", ".join(f"({k}, {quoted(x)})" for k, (_, x) in enumerate(ENTRIES))})
+SELECT c_custkey AS doc_id, string_agg(body, chr(10) ORDER BY idx) AS refs FROM customer, t WHERE c_custkey % 10 = 0 GROUP BY c_custkey"""
+
+
+def target_spans(spark, sf_dir):
+    """Where a part's name, in capitals for every second one, stands in a sentence; every fifth isn't there."""
+    p = table(spark, sf_dir, "part").selectExpr("p_partkey AS doc_id", "concat('First one. Then ', p_name, ' came. Last.') AS text", "CASE WHEN p_partkey % 5 = 0 THEN 'nowhere' WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END AS target")
+    return p.selectExpr("doc_id", f"{annotate.target_span()} AS x").selectExpr("doc_id", "x.s AS s", "x.e AS e")
+
+
+_TARGET_SQL = """SELECT p_partkey AS doc_id, CAST(CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE 16 END AS INTEGER) AS s, CAST(CASE WHEN p_partkey % 5 = 0 THEN 10 ELSE 16 + length(p_name) END AS INTEGER) AS e FROM part"""
+
+
+def payments(spark, sf_dir):
+    """Passes that new payment events give: every third event has been seen, and each comes twice."""
+    e = table(spark, sf_dir, "events").filter("event_type = 'purchase'").selectExpr("event_id", "user_id", "ts AS paid_at")
+    passes = spark.createDataFrame([], "user_id long, status string, starts_at timestamp, expires_at timestamp")
+    _, made = ledger.fulfilled(e.filter("event_id % 3 = 0").select("event_id"), passes, e.union(e))
+    return made.groupBy("user_id").agg(F.count("*").alias("n"), F.date_format(F.max("expires_at"), "yyyy-MM-dd").alias("until"))
+
+
+_PAYMENT_SQL = "SELECT user_id, count(*) AS n, strftime(max(ts + INTERVAL 30 DAY), '%Y-%m-%d') AS until FROM events WHERE event_type = 'purchase' AND event_id % 3 <> 0 GROUP BY user_id"
+
+
+def link_states(spark, sf_dir):
+    """Links after one of them has been revoked, newest first, and which of them still hold."""
+    e = table(spark, sf_dir, "events").filter("event_type = 'signup'")
+    links = e.selectExpr("event_id AS id", "concat('u', user_id) AS label", "'active' AS status", "ts AS created_at", "ts + make_interval(0, 0, 0, 30) AS expires_at", "cast(null AS timestamp) AS revoked_at")
+    first = links.agg(F.min("id").alias("first"))
+    gone = ledger.revoked(links.join(F.broadcast(first)), F.col("first"), F.col("created_at"))
+    return ledger.newest_first(gone).groupBy("status").agg(F.count("*").alias("n"), F.count("revoked_at").alias("revoked"))
+
+
+_LINK_SQL = "SELECT CASE WHEN event_id = f THEN 'revoked' ELSE 'active' END AS status, count(*) AS n, count(*) FILTER (event_id = f) AS revoked FROM events, (SELECT min(event_id) AS f FROM events WHERE event_type = 'signup') WHERE event_type = 'signup' GROUP BY 1"
+
+
+def findings_places(spark, sf_dir):
+    """Sorted and placed findings of one rule in pasted manuscripts, with the page place of each."""
+    p = manuscripts(spark, sf_dir, "TBL").drop("target")
+    found = findings.findings(p, SETTINGS, tuple(r for r in RULES if r.rule_id == "TBL001"))
+    return findings.in_order(found.filter("rule_id = 'TBL001'")).select("doc_id", "idx", "page", "para_on_page", "category", "severity", "location")
+
+
+_PLACES_SQL = f"""WITH p AS ({PARAGRAPHS_SQL.format(k=len(of_family('TBL')))}) SELECT doc_id, idx, 1 AS page, idx + 1 AS para_on_page, 'table' AS category, 'warning' AS severity,
+'Page 1, Para ' || (idx + 1) || ' - "It is in the table above too."' AS location FROM p WHERE k = 0"""
+
 QUERIES = {
     **{f"rules_{f.lower()}": rule_query(f) for f in FAMILIES},
     "rules_ref": ref_rules,
@@ -358,6 +452,13 @@ QUERIES = {
     "active_passes": active_passes,
     "feedback_valid": feedback_valid,
     "link_tokens": link_tokens,
+    "word_structure": word_structure,
+    "paste_split": paste_split,
+    "ref_text": ref_text,
+    "target_spans": target_spans,
+    "payments": payments,
+    "link_states": link_states,
+    "findings_places": findings_places,
 }
 
 ORACLES = {
@@ -394,6 +495,13 @@ SELECT rule_id, CAST(sum(n) AS BIGINT) AS n, count(DISTINCT doc_id) AS docs FROM
     "active_passes": _PASS_SQL,
     "feedback_valid": _FEEDBACK_SQL,
     "link_tokens": _TOKEN_SQL,
+    "word_structure": _word_sql(),
+    "paste_split": _PASTE_SQL,
+    "ref_text": _REF_TEXT_SQL,
+    "target_spans": _TARGET_SQL,
+    "payments": _PAYMENT_SQL,
+    "link_states": _LINK_SQL,
+    "findings_places": _PLACES_SQL,
 }
 
 

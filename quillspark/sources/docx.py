@@ -188,8 +188,9 @@ def annotated(files: DataFrame, notes: DataFrame) -> DataFrame:
     """path, content: annotated copies. files: path, content; notes: path, idx, s, e, severity, comment."""
     listed = notes.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("idx", "s", "e", "severity", "comment"))).alias("notes"))
 
-    @F.udf("binary")
-    def write(content, rows):
-        return annotate(bytes(content), [tuple(r) for r in rows or []])
+    def write(frames):
+        for f in frames:
+            out = [annotate(bytes(c), [tuple(n.values()) if isinstance(n, dict) else tuple(n) for n in (rows if rows is not None else ())]) for c, rows in zip(f["content"], f["notes"], strict=True)]
+            yield pd.DataFrame({"path": f["path"], "content": out})
 
-    return files.join(listed, "path", "left").select("path", write("content", "notes").alias("content"))
+    return files.select("path", "content").join(listed, "path", "left").mapInPandas(write, "path string, content binary")

@@ -216,6 +216,16 @@ def test_word_files(spark, tmp_path):
     assert "commentRangeStart" in doc and '"yellow"' in doc and "look" in notes
 
 
+def test_annotated_files(spark):
+    data = word_file([("", "Body text is here.", 0, 0, "")])
+    files = spark.createDataFrame([("a", bytearray(data)), ("b", bytearray(data))], "path string, content binary")
+    notes = spark.createDataFrame([("a", 0, 5, 9, "ERROR", "look")], "path string, idx int, s int, e int, severity string, comment string")
+    got = {r.path: bytes(r.content) for r in docx.annotated(files, notes).collect()}
+    with zipfile.ZipFile(io.BytesIO(got["a"])) as z:
+        assert '"red"' in z.read("word/document.xml").decode() and "look" in z.read("word/comments.xml").decode()
+    assert docx.read_paragraphs(got["b"]) == docx.read_paragraphs(data)
+
+
 def test_reference_text(spark):
     p = rows(spark, [(None, False, True, "B"), (None, False, False, "x"), (None, False, True, "A")])
     assert paragraphs.reference_text(p).first().refs == "B\nA"
