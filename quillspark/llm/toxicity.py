@@ -90,7 +90,7 @@ class Reader:
         memory = self.memory
         if len(memory) > MOST_TOKENS:
             memory.clear()
-        for w in set(words).difference(memory) if len(words) > len(memory) else {w for w in words if w not in memory}:
+        for w in {w for w in words if w not in memory}:
             memory[w] = self._code(w)
         n = max(1, len(words))
         codes = np.fromiter(map(memory.__getitem__, words), np.int64, len(words))
