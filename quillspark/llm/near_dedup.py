@@ -10,7 +10,9 @@ pairs are never all listed: the members meet the bucket's most central member (w
 where few pairs between different classes are left (at most FEW times its members) those are listed. Pairs are
 verified by the Jaccard similarity of their shingle sets; links merge classes, and buckets whose members are
 all of one class are done. Rounds go on with the next central member until no bucket is left, or until two
-rounds have found no link in what is left (large buckets of documents that are alike but not near).
+rounds have found no link in what is left (large buckets of documents that are alike but not near). Then one
+exact join ends them all: of similar sets, the rarest shingles of both must share one (prefix filter), and
+every pair of different classes that does is verified.
 
 Defined results: null text counts as empty, and texts without a word are copies of each other; a text of fewer
 than WORDS words is one shingle; rows with the same doc_id are one node; rows with a null doc_id take the class
@@ -196,6 +198,29 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     return met.filter(F.col("i") / (F.size("sa") + F.size("sb") - F.col("i")) >= similar).select("a", "b")
 
 
+def prefix_pairs(rest: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """Pairs (a, b) of rest (rep, class) of different classes; every pair of similar sets is among them.
+
+    Shingles are ordered by how many sets have them, those of one class first. Similar sets share at least
+    need = similar / (1 + similar) of their sizes' sum, so the first shared one stands before the last need - 1
+    of each. Only shingles of several classes are ever looked up.
+    """
+    known = stored(rest.join(sets, "rep").select("rep", "class", "sh", F.size("sh").alias("size")), "rest")
+    tokens = known.select("rep", "class", "size", F.explode("sh").alias("token")).withColumn("t2", F.col("token") % 1009)
+    shared = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("class").alias("c1"), F.max("class").alias("c2")).filter("c1 < c2").select("token", "n", (F.col("token") % 1009).alias("t2"))
+    rows = tokens.join(shared, ["token", "t2"]).groupBy("rep", "class", "size").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("t"))
+    # Positions from here count the shingles of one class, which stand first.
+    lone = F.col("size") - F.size("t")
+    prefix = F.col("size") - F.ceil(similar * F.col("size") - 1e-9) + 1 - lone
+    rows = rows.withColumn("lone", lone).withColumn("t", F.slice("t", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int")))
+    rows = stored(rows.select("rep", "class", "size", "lone", F.posexplode("t").alias("k", "x")).select("rep", "class", "size", (F.col("lone") + F.col("k")).alias("at"), F.col("x.token").alias("token")), "prefixes")
+    a, b = (rows.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("rep", "class", "size", "at"))) for side in "ab")
+    need = similar / (1 + similar) * (F.col("size_a") + F.col("size_b")) - 1e-9
+    near = (F.col("rep_a") < F.col("rep_b")) & (F.col("class_a") != F.col("class_b")) & (F.col("size_a") - F.col("at_a") >= need) & (F.col("size_b") - F.col("at_b") >= need)
+    near &= F.least("size_a", "size_b") >= similar * F.greatest("size_a", "size_b") - 1e-9
+    return a.join(b, "token").filter(near).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+
+
 def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """doc_id, class_id (least doc_id of the class), is_representative: one row per row of docs."""
     docs = keyed_texts(docs)
@@ -211,6 +236,12 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     sets = stored(shingle_sets(with_ids(docs, central, "left_semi", "rep")), "shingles")
     alive = stored(shared.join(central, "rep").select("bucket", "rep", "score", F.col("rep").alias("class")), "alive")
     label = central.select("rep", F.col("rep").alias("class"))
+    renewed = lambda df, moved: df.join(moved.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("class", F.coalesce("root", "class")).drop("root")
+
+    def moves(links):
+        met = links.join(label.select(F.col("rep").alias("a"), F.col("class").alias("u")), "a").join(label.select(F.col("rep").alias("b"), F.col("class").alias("v")), "b")
+        return classes_of(met.select("u", "v"))
+
     idle = 0
     while idle < 2:
         # What a bucket has: members, pairs between classes, its largest class and its most central member.
@@ -224,19 +255,23 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         listed = now.filter("few AND class <> most").join(rest, "bucket").filter("class <> other_class").select(F.col("rep").alias("a"), F.col("other").alias("b"))
         pairs = stars.union(listed).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         links = stored(verified(pairs, sets, similar), "links")
-        met = links.join(label.select(F.col("rep").alias("a"), F.col("class").alias("u")), "a").join(label.select(F.col("rep").alias("b"), F.col("class").alias("v")), "b")
         left = now.filter("NOT few AND rep <> leader").select("bucket", "rep", "score", "class")
         if links.isEmpty():
             idle += 1
         else:
             idle = 0
-            moved = classes_of(met.select("u", "v"))
-            to = moved.select(F.col("node").alias("class"), "root")
-            renewed = lambda df: df.join(to, "class", "left").withColumn("class", F.coalesce("root", "class")).drop("root")
-            label, left = stored(renewed(label), "classes"), renewed(left)
+            moved = moves(links)
+            label, left = stored(renewed(label, moved), "classes"), renewed(left, moved)
         alive = stored(left, "alive")
         if alive.isEmpty():
             break
+    else:
+        # Buckets that still hold several classes: all their pairs that can be links.
+        mixed = alive.groupBy("bucket").agg(F.min("class").alias("c1"), F.max("class").alias("c2")).filter("c1 < c2").select("bucket", (F.col("bucket") % 1009).alias("b2"))
+        rest = alive.withColumn("b2", F.col("bucket") % 1009).join(mixed, ["bucket", "b2"]).select("rep", "class").distinct()
+        links = stored(verified(prefix_pairs(rest, sets, similar), sets, similar), "links")
+        if not links.isEmpty():
+            label = stored(renewed(label, moves(links)), "classes")
     out = members.select("doc_id", "rep").join(label, "rep", "left").select("doc_id", F.coalesce("class", "rep").alias("class_id"))
     return out.withColumn("is_representative", F.col("doc_id").eqNullSafe(F.col("class_id")))
 

@@ -125,6 +125,27 @@ def test_near_classes_are_the_brute_force_ones(spark):
     assert all(want[i] == want[j] for i, j in together)  # no class holds what isn't linked
 
 
+def test_links_in_a_large_bucket_of_documents_below_the_bound(spark):
+    own = lambda i, k: [f"w{i}x{j}" for j in range(k)]
+    passage = own("p", 400)
+    tails = [own(i, 56) for i in range(240)]
+    for i in range(0, 60, 2):  # planted: 12 words more in common, 0.82
+        tails[i + 1][:12] = tails[i][:12]
+    rows = [(i, " ".join(passage + t)) for i, t in enumerate(tails)]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows) and len(set(got.values())) == 210
+
+
+def test_prefix_pairs_hold_every_similar_pair(spark):
+    rng = np.random.default_rng(8)
+    sets = {i: sorted({*range(int(rng.integers(20, 40))), *(1000 + rng.integers(0, 12, int(rng.integers(0, 9)))).tolist()}) for i in range(150)}
+    frame = spark.createDataFrame(list(sets.items()), "rep long, sh array<long>")
+    rest = spark.createDataFrame([(i, i % 40) for i in sets], "rep long, class long")
+    got = {(r.a, r.b) for r in near_dedup.verified(near_dedup.prefix_pairs(rest, frame, 0.8), frame, 0.8).collect()}
+    want = {(i, j) for i in sets for j in sets if i < j and i % 40 != j % 40 and len({*sets[i]} & {*sets[j]}) / len({*sets[i]} | {*sets[j]}) >= 0.8}
+    assert got == want and len(want) > 100
+
+
 def test_near_classes_odd_rows(spark):
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (None, "nothing like it at all here"), (2, "z")]
     got = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
