@@ -2,9 +2,12 @@
 
 Markup is stripped into lines, one per block; lines of menus, adverts, forms and the like are stripped with
 their containers. Text lengths are summed over sliding windows of WINDOW lines. Where the sum surges, a text
-begins, and it goes on until the sum dives to nothing; the longest such stretch is the page's main text. Gaps
-of WINDOW empty lines stand where the page's own containers (article, main, the rest) meet, so that a stretch
-never runs from one into the other; stretches of an article or main element go before those outside.
+begins, and it goes on until the sum dives to nothing. The longest such stretch outside article and main elements
+shows the container of the main text: the least one around its long lines, where neighbours of the same tag and
+attributes are one container. All lines of a container are kept with the stretch, short ones between and after too;
+if it is the whole page, from the first surge on. Gaps of WINDOW empty lines stand where the page's own containers
+(article, main, the rest) meet, so that a stretch never runs from one into the other; an article or main element
+is kept whole and goes before what is outside.
 
 Defined results: null html counts as empty and gives an empty text; broken markup is read as far as it goes
 (an unclosed script or comment ends the page); repeated rows each get their own result; columns other than
@@ -35,6 +38,10 @@ TRACKED = frozenset("div section nav header footer aside form main article ul ol
 STRIPPED = frozenset("nav footer aside form dialog menu fieldset".split())
 STRIPPED_OUTSIDE = frozenset(["header"])
 MAIN = frozenset(["article", "main"])
+#: Containers that can be the main text's; lists, tables and figures stand in one.
+HOLDING = frozenset("div section article main".split())
+#: Containers nested deeper belong to the one at this depth.
+DEEPEST = 200
 _NAME = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _BOILER = re.compile(
@@ -43,23 +50,23 @@ _BOILER = re.compile(
 )
 
 
-def lines_of(page: str) -> list[tuple[str, int]]:
-    """(text, zone) of each block in page order; zone 0 is outside article and main, others number those."""
-    out: list[tuple[str, int]] = []
+def lines_of(page: str) -> list[tuple[str, int, tuple]]:
+    """(text, zone, containers) of each block in page order; zone 0 is outside article and main, others number those."""
+    out: list[tuple[str, int, tuple]] = []
     buffer: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # name, stripped, zone
+    stack: list[tuple[str, bool, int, tuple | None]] = []  # name, stripped, zone, containers as links to the outer ones
     zones, at = 0, 0
 
     def state():
-        return stack[-1][1:] if stack else (False, 0)
+        return stack[-1][1:] if stack else (False, 0, None)
 
     def close():
         if buffer:
-            stripped, zone = state()
+            stripped, zone, inside = state()
             text = _SPACE.sub(" ", html.unescape("".join(buffer))).strip()
             buffer.clear()
             if text and not stripped:
-                out.append((text, zone))
+                out.append((text, zone, inside))
 
     while True:
         m = _TAG.search(page, at)
@@ -93,14 +100,29 @@ def lines_of(page: str) -> list[tuple[str, int]]:
                         del stack[k:]
                         break
             elif not attributes.endswith("/"):
-                stripped, zone = state()
+                stripped, zone, inside = state()
                 if not stripped and name != "body":
                     marks = " ".join(_NAME.findall(attributes))
                     stripped = name in STRIPPED or (name in STRIPPED_OUTSIDE and not zone) or (name not in MAIN and bool(_BOILER.search(marks))) or bool(_HIDDEN.search(attributes))
                 if name in MAIN and not stripped and not zone:
                     zones += 1
                     zone = zones
-                stack.append((name, stripped, zone))
+                if name in HOLDING and (not inside or inside[0] < DEEPEST):
+                    depth = inside[0] + 1 if inside else 1
+                    inside = (depth, hash((inside and inside[1], name, attributes.strip())), inside)
+                stack.append((name, stripped, zone, inside))
+
+
+def common(a: tuple | None, b: tuple | None) -> tuple | None:
+    """The innermost container that two lines share."""
+    while a is not b and (a is None or b is None or a[1] != b[1]):
+        if a is None or b is None:
+            return None
+        if a[0] >= b[0]:
+            a, b = (a[2], b) if a[0] > b[0] else (a[2], b[2])
+        else:
+            b = b[2]
+    return a
 
 
 def main_text(page: str | None) -> str:
@@ -109,14 +131,14 @@ def main_text(page: str | None) -> str:
     if not lines:
         return ""
     # Lines with gaps between zones.
-    rows: list[tuple[str, int]] = []
-    for text, zone in lines:
-        if rows and rows[-1][1] != zone:
-            rows += [("", zone)] * WINDOW
-        rows.append((text, zone))
-    sizes = [len(t.replace(" ", "")) for t, _ in rows] + [0] * WINDOW
+    rows: list[tuple[str, int, tuple | None]] = []
+    for line in lines:
+        if rows and rows[-1][1] != line[1]:
+            rows += [("", line[1], None)] * WINDOW
+        rows.append(line)
+    sizes = [len(t.replace(" ", "")) for t, _, _ in rows] + [0] * WINDOW
     sums = [sum(sizes[i : i + WINDOW]) for i in range(len(rows))]
-    peak = max((s for s, (_, z) in zip(sums, rows, strict=True) if not z), default=0)
+    peak = max((s for s, (_, z, _) in zip(sums, rows, strict=True) if not z), default=0)
     surge = min(SURGE_CHARS, SURGE_SHARE * peak)
     stretches, at = [], 0  # (in a main zone, characters, from, to)
     while at < len(rows):
@@ -135,8 +157,16 @@ def main_text(page: str | None) -> str:
     if not stretches:
         return ""
     main = [s for s in stretches if s[0]]
-    kept = main or [max(stretches, key=lambda s: (s[1], -s[2]))]
-    return "\n\n".join(t for _, _, a, b in kept for t, _ in rows[a:b] if t)
+    if main:
+        return "\n\n".join(t for t, z, _ in rows if z)
+    _, _, start, end = max(stretches, key=lambda s: (s[1], -s[2]))
+    held = [rows[k][2] for k in range(start, end) if sizes[k] * WINDOW >= surge] or [rows[start][2]]
+    holder = held[0]
+    for inside in held:
+        holder = common(holder, inside)
+    if not holder:
+        return "\n\n".join(t for t, _, _ in rows[stretches[0][2] :] if t)
+    return "\n\n".join(t for k, (t, _, inside) in enumerate(rows) if start <= k < end or ((c := common(inside, holder)) and c[1] == holder[1]))
 
 
 def main_texts(pages: DataFrame) -> DataFrame:

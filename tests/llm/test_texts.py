@@ -154,6 +154,23 @@ def test_main_text_of_odd_pages():
     assert html_text.main_text("<p>" + "x " * 200000).startswith("x x")
 
 
+def blocks(*sizes):
+    return [f"{k} " + "x" * (n - len(str(k))) for k, n in enumerate(sizes)]
+
+
+@pytest.mark.parametrize("sizes", [(500, 5, 6, 7, 400), (500, 20), (500, 5, 6, 7, 8, 400, 9, 3, 3, 3), (9, 8, 7, 6, 500)])
+@pytest.mark.parametrize("wrap", ["<p>{}</p>", "<div>{}</div>", "<div class='par'><p>{}</p></div>", "<ul><li>{}</li></ul>"])
+def test_short_blocks_of_the_main_container_are_kept(sizes, wrap):
+    texts = blocks(*sizes)
+    page = f"<body><div class='post'>{''.join(map(wrap.format, texts))}</div><div class='x'>a</div><div class='x'>b</div><div class='end'>Bye.</div></body>"
+    assert html_text.main_text(page) == "\n\n".join(texts)
+
+
+def test_short_blocks_without_a_container_are_kept():
+    for sizes in ((500, 5, 6, 7, 400), (500, 20)):
+        assert html_text.main_text("".join(f"<p>{t}</p>" for t in blocks(*sizes))) == "\n\n".join(blocks(*sizes))
+
+
 def test_pages_query(spark):
     df = spark.createDataFrame([(1, "u", None, 1), (1, "u", None, 1), (2, None, "<p>Text</p>", 2)], "page_id long, url string, html string, text int")
     assert sorted(tuple(r) for r in html_text.main_texts(df).fillna("none", "url").collect()) == [(1, "u", "", 0), (1, "u", "", 0), (2, "none", "Text", 4)]
