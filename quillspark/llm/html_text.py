@@ -6,8 +6,8 @@ begins, and it goes on until the sum dives to nothing. The longest such stretch
 shows the container of the main text: the least one around its long lines, where neighbours of the same tag and
 attributes are one container. All lines of a container are kept with the stretch, short ones between and after too;
 if it is the whole page, from the first surge on. Gaps of WINDOW empty lines stand where the page's own containers
-(article, main, the rest) meet, so that a stretch never runs from one into the other; an article or main element
-is kept whole and goes before what is outside.
+(article, main, the rest) meet, so that a stretch never runs from one into the other. Article and main elements are
+kept whole, and what is outside only if its stretch has more than PRIOR times the characters of all theirs.
 
 Defined results: null html counts as empty and gives an empty text; broken markup is read as far as it goes
 (an unclosed script or comment ends the page); repeated rows each get their own result; columns other than
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, table
 
 WINDOW = 3
-#: A surge of a text outside article and main elements: so many characters in a window, or this share of the most.
+#: A surge of a text: so many characters in a window, or this share of the most.
 SURGE_CHARS, SURGE_SHARE = 80, 0.35
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)(?:>|\Z)""", re.S)
@@ -42,6 +42,8 @@ MAIN = frozenset(["article", "main"])
 HOLDING = frozenset("div section article main".split())
 #: Containers nested deeper belong to the one at this depth.
 DEEPEST = 200
+#: So many characters of a stretch outside weigh as much as one in an article or main element.
+PRIOR = 3
 _NAME = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _BOILER = re.compile(
@@ -138,35 +140,31 @@ def main_text(page: str | None) -> str:
         rows.append(line)
     sizes = [len(t.replace(" ", "")) for t, _, _ in rows] + [0] * WINDOW
     sums = [sum(sizes[i : i + WINDOW]) for i in range(len(rows))]
-    peak = max((s for s, (_, z, _) in zip(sums, rows, strict=True) if not z), default=0)
-    surge = min(SURGE_CHARS, SURGE_SHARE * peak)
+    surge = min(SURGE_CHARS, SURGE_SHARE * max(sums))
     stretches, at = [], 0  # (in a main zone, characters, from, to)
     while at < len(rows):
-        zone = rows[at][1]
-        if sizes[at] and (zone or sums[at] >= surge):
+        if sizes[at] and sums[at] >= surge:
             end = at
-            while end < len(rows) and (sizes[end] if zone else sums[end] >= surge and sizes[end]):
+            while end < len(rows) and sums[end] >= surge and sizes[end]:
                 end += 1
-            if not zone:  # the dive: the windows that still hold the last long line
-                while end < len(rows) and sizes[end] and sizes[end] * WINDOW >= surge:
-                    end += 1
-            stretches.append((bool(zone), sum(sizes[at:end]), at, end))
+            # The dive: the windows that still hold the last long line.
+            while end < len(rows) and sizes[end] and sizes[end] * WINDOW >= surge:
+                end += 1
+            stretches.append((bool(rows[at][1]), sum(sizes[at:end]), at, end))
             at = end
         else:
             at += 1
-    if not stretches:
-        return ""
-    main = [s for s in stretches if s[0]]
-    if main:
-        return "\n\n".join(t for t, z, _ in rows if z)
-    _, _, start, end = max(stretches, key=lambda s: (s[1], -s[2]))
+    outside = [s for s in stretches if not s[0]]
+    _, most, start, end = max(outside, key=lambda s: (s[1], -s[2]), default=(False, 0, 0, 0))
+    if any(z for _, z, _ in rows) and most <= PRIOR * sum(s[1] for s in stretches if s[0]):
+        return "\n\n".join(t for t, z, _ in rows if t and z)
     held = [rows[k][2] for k in range(start, end) if sizes[k] * WINDOW >= surge] or [rows[start][2]]
     holder = held[0]
     for inside in held:
         holder = common(holder, inside)
-    if not holder:
-        return "\n\n".join(t for t, _, _ in rows[stretches[0][2] :] if t)
-    return "\n\n".join(t for k, (t, _, inside) in enumerate(rows) if start <= k < end or ((c := common(inside, holder)) and c[1] == holder[1]))
+    first = outside[0][2]
+    kept = lambda k, zone, inside: zone or start <= k < end or (((c := common(inside, holder)) and c[1] == holder[1]) if holder else k >= first)
+    return "\n\n".join(t for k, (t, zone, inside) in enumerate(rows) if t and kept(k, zone, inside))
 
 
 def main_texts(pages: DataFrame) -> DataFrame:

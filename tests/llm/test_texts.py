@@ -171,6 +171,16 @@ def test_short_blocks_without_a_container_are_kept():
         assert html_text.main_text("".join(f"<p>{t}</p>" for t in blocks(*sizes))) == "\n\n".join(blocks(*sizes))
 
 
+def test_a_small_article_beside_the_text():
+    body, end = blocks(500, 5, 6, 7, 400), "<div class='end'>Bye.</div>"
+    text = "".join(f"<p>{t}</p>" for t in body)
+    teaser = "<article><h2>More</h2><p>A teaser that is short.</p></article>"
+    for page in (f"<div class='post'>{text}</div>{teaser}{end}", f"<div class='post'>{text}{teaser}</div>{end}"):
+        assert html_text.main_text(page) == "\n\n".join([*body, "More", "A teaser that is short."])
+    # An article that outweighs the rest is kept alone and whole, a stretch or not.
+    assert html_text.main_text(f"<article><p>a</p><p>b</p><p>c</p><p>d</p>{text}</article><div class='x'><p>{'y ' * 400}</p></div>") == "\n\n".join(["a", "b", "c", "d", *body])
+
+
 def test_pages_query(spark):
     df = spark.createDataFrame([(1, "u", None, 1), (1, "u", None, 1), (2, None, "<p>Text</p>", 2)], "page_id long, url string, html string, text int")
     assert sorted(tuple(r) for r in html_text.main_texts(df).fillna("none", "url").collect()) == [(1, "u", "", 0), (1, "u", "", 0), (2, "none", "Text", 4)]
