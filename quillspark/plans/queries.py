@@ -224,8 +224,8 @@ def chunk_estimate(spark, sf_dir):
 
 
 def chunk_split(spark, sf_dir):
-    """Chunks of English documents at 300 words, their number and words."""
-    d = table(spark, sf_dir, "documents").filter("lang = 'en'").selectExpr("doc_id", "coalesce(text, '') AS text")
+    """Chunks of all documents at 300 words, their number and words."""
+    d = table(spark, sf_dir, "documents").selectExpr("doc_id", "coalesce(text, '') AS text")
     c = d.selectExpr("doc_id", f"posexplode({edits.chunks('text', 300)}) AS (chunk, part)")
     return c.selectExpr("doc_id", "chunk", f"cast({words('part')} AS bigint) AS n_words", "cast(length(part) AS bigint) AS n_chars")
 
