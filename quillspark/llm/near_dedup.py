@@ -1,9 +1,9 @@
 """Near-duplicate classes by ProbMinHash, banding and exact verification.
 
-A document is its shingles of WORDS lower-case words with weights 1 + ln(count). Each shingle is a Poisson
-process of that rate whose points fall on random registers; a register keeps the shingle of its first point,
-and a document's processes stop once their next points come after the last register's first. Two registers
-agree with the probability Jaccard similarity of the weights.
+A document is the set of its shingles of WORDS lower-case words, all of weight 1, as links are defined by sets
+however often a line is repeated. Each shingle is a Poisson process of that rate whose points fall on random
+registers; a register keeps the shingle of its first point, and a document's processes stop once their next points
+come after the last register's first. Two registers agree with the Jaccard similarity of the sets.
 
 Equal word sequences are collapsed first. BANDS bands of ROWS registers put the rest into buckets. In a bucket
 pairs are never all listed: the members meet the bucket's most central member (whose buckets are largest), and
@@ -137,8 +137,8 @@ def sketches(docs: DataFrame) -> DataFrame:
             for text in b.column("text").to_pylist():
                 words = words_of(text)
                 d = xxhash.xxh3_128_digest(" ".join(words).encode())
-                e, c = np.unique(shingles(words), return_counts=True)
-                rows.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), e, 1 + np.log(c)))
+                e = np.unique(shingles(words))
+                rows.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), e, np.ones(len(e))))
                 size += len(e)
                 if size > BATCH:
                     flush(rows, out)

@@ -136,6 +136,15 @@ def test_links_in_a_large_bucket_of_documents_below_the_bound(spark):
     assert got == brute_classes(rows) and len(set(got.values())) == 210
 
 
+def test_repeated_lines_dont_part_similar_sets(spark):
+    rows = []
+    for i in range(150):
+        own = [[f"w{i}{x}{j}" for j in range(k)] for x, k in (("a", 66), ("b", 30), ("c", 5), ("d", 5))]
+        rows += [(2 * i, " ".join(own[0] + own[1] + own[1][:4] + own[2])), (2 * i + 1, " ".join(own[0] + own[1] * 50 + own[1][:4] + own[3]))]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(300)}
+
+
 def test_prefix_pairs_hold_every_similar_pair(spark):
     rng = np.random.default_rng(8)
     sets = {i: sorted({*range(int(rng.integers(20, 40))), *(1000 + rng.integers(0, 12, int(rng.integers(0, 9)))).tolist()}) for i in range(150)}
