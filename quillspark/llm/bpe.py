@@ -5,10 +5,13 @@ rank and place (nothing where the pair has no merge); the root is then the leftm
 Merging it changes at most three leaves, each a logarithmic update, until the root is empty. Encoder.merge
 does this for one long piece; short pieces of a batch go through the same trees side by side as numpy rows.
 
-A text's pieces (white space never survives between them) are encoded once and kept in a bounded memory.
+White space never survives between pieces, so texts are cut there by Arrow, the words of a slice of texts are
+numbered, and only words that the bounded memory doesn't hold are cut into pieces and merged. Ids of occurrences
+are then gathered as numbers.
 
 Defined results: null text counts as empty; an empty text has 0 tokens and two empty strings; any length of
-text is encoded whole; every row gets its own result; columns other than doc_id and text are ignored.
+text is encoded whole (a long one is a slice of its own); repeated rows each get their own result; an empty table
+gives an empty result; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -16,26 +19,32 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 from .common import keyed_texts, table
 
 TOKENIZER = "word_bpe_49k.json"
-#: Pieces kept by an encoder; beyond it the memory starts anew.
-MOST_PIECES = 200_000
+#: Words in either half of an encoder's memory; when the younger half is full the older one is forgotten.
+MOST_WORDS = 200_000
+#: Longer words aren't remembered.
+LONGEST_WORD = 64
 #: Characters of text that are encoded together.
-BATCH_CHARS = 1_500_000
+SLICE_CHARS = 2_500_000
 #: Pieces of more bytes have a tree of their own.
 SIDE_BY_SIDE = 64
 #: The others are characters whose lower case, composition and class are the same in all Unicode versions in use.
 KNOWN = regex.compile(r"[^\t-\r\x20-\x7e\x85\xa0-ɏ‐-‧‰-⁞]")
+#: A text without these is cut by white space; the ones beside KNOWN have a lower case that isn't known.
+NOT_PLAIN = regex.compile(KNOWN.pattern + "|[" + "".join(c for c in map(chr, range(0x250)) if not KNOWN.search(c) and KNOWN.search(c.lower())) + "]")
 
 
 #: The pre-tokenizer pattern that known_cut() stands for on KNOWN characters.
@@ -64,8 +73,6 @@ def _byte_characters() -> list[str]:
 
 class Encoder:
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -76,9 +83,10 @@ class Encoder:
         self.tokens = [""] * (max([*self.vocab.values(), *self.special.values()]) + 1)
         for token, i in [*self.vocab.items(), *self.special.items()]:
             self.tokens[i] = token
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.cut = known_cut() if pattern == WORD_CUT else regex.compile(pattern)
+        self.by_space = pattern == WORD_CUT
+        self.cut = known_cut() if self.by_space else regex.compile(pattern)
         marks = _byte_characters()
         self.inner = np.array([self.vocab[c] for c in marks], np.int64)
         self.final = np.array([self.vocab[c + self.suffix] for c in marks], np.int64)
@@ -87,12 +95,16 @@ class Encoder:
         left, right = (np.array([self.vocab[p[k]] for p in pairs], np.int64) for k in (0, 1))
         self.merged = np.array([self.vocab[a + b] for a, b in pairs] + [0], np.int64)
         keys = left * self.size + right
-        self.order = np.argsort(keys, kind="stable")
-        self.keys = np.append(keys[self.order], np.int64(2**62))
-        self.order = np.append(self.order, len(pairs))
         self.nothing = len(pairs)
-        self.rank = {int(k): int(r) for k, r in zip(keys, range(len(keys)), strict=True)}
-        self.ids: dict[str, tuple[int, ...]] = {}
+        self.rank = dict(zip(keys.tolist(), range(len(keys)), strict=True))
+        self._spread(keys)
+
+    @cached_property
+    def library(self):
+        """The tokenizers library's reading of the vocabulary, for characters that Python's tables may see otherwise."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     # --- merging ---
 
@@ -135,19 +147,51 @@ class Encoder:
                 put(before[i], pair(before[i]))
         return [s for s, a in zip(sym, alive, strict=True) if a]
 
+    def _spread(self, keys: np.ndarray) -> None:
+        """Slots of a hash table with open addressing: every pair within `reach` of its own slot."""
+        bits = 2 + max(1, len(keys)).bit_length()
+        self.shift, self.reach = np.uint64(64 - bits), 1
+        slots = np.full((1 << bits) + 64, -1, np.int64)
+        ranks = np.full(len(slots), self.nothing, np.int32)
+        todo, step = np.arange(len(keys)), 0
+        home = self._home(keys)
+        while len(todo):
+            at = home[todo] + step
+            free = slots[at] < 0
+            # Of several pairs for one free slot, the first takes it.
+            first = np.zeros(len(todo), bool)
+            first[np.flatnonzero(free)[np.unique(at[free], return_index=True)[1]]] = True
+            slots[at[first]], ranks[at[first]] = keys[todo[first]], todo[first]
+            todo, step = todo[~first], step + 1
+        self.slots, self.slot_ranks, self.reach = slots, ranks, step
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
     def _ranks(self, left, right):
         k = left.astype(np.int64) * self.size + right
-        at = np.searchsorted(self.keys, k)
-        return np.where(self.keys[at] == k, self.order[at], self.nothing)
-
-    def merge_many(self, pieces: list[bytes]) -> list[list[int]]:
-        """The tokens of many short pieces: one tree a row, updated side by side."""
-        n = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        width = 1 << max(0, int(n.max()) - 2).bit_length() if len(pieces) else 1
-        rows = len(pieces)
-        flat = np.frombuffer(b"".join(pieces), np.uint8)
+        at = self._home(k)
+        out = np.where(self.slots[at] == k, self.slot_ranks[at], self.nothing)
+        open_ = np.flatnonzero((out == self.nothing) & (self.slots[at] >= 0))
+        for step in range(1, self.reach):
+            if not len(open_):
+                break
+            there = self.slots[at[open_] + step]
+            hit = there == k[open_]
+            out[open_[hit]] = self.slot_ranks[at[open_[hit]] + step]
+            open_ = open_[~hit & (there >= 0)]
+        return out
+
+    def merge_many(self, data: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of short pieces (n bytes of data from starts), one after another, and how many each has.
+
+        One tree a row, updated side by side.
+        """
+        rows, width = len(n), 1 << max(0, int(n.max()) - 2).bit_length()
         row = np.repeat(np.arange(rows), n)
-        col = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+        col = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        flat = data[np.repeat(starts, n) + col]
         sym = np.full((rows, width + 2), -1, np.int32)
         sym[row, col] = self.inner[flat]
         sym[np.arange(rows), n - 1] = self.final[flat[np.cumsum(n) - 1]]
@@ -203,9 +247,7 @@ class Encoder:
                 put(live[has], hh, np.where(r < self.nothing, r * width + hh, none))
             live = live[tree_flat[live * tw + 1] < none]
         kept = sym >= 0
-        flat_ids, counts = sym[kept].tolist(), kept.sum(axis=1)
-        ends = np.cumsum(counts).tolist()
-        return [flat_ids[e - c : e] for e, c in zip(ends, counts.tolist(), strict=True)]
+        return sym[kept].astype("<u4"), kept.sum(axis=1)
 
     # --- texts ---
 
@@ -222,21 +264,24 @@ class Encoder:
         back = {c: b for b, c in enumerate(_byte_characters())}
         return [bytes([back[c] for c in p]).decode() for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
-    def learn(self, pieces: Iterable[str]) -> tuple[list[str], list[list[int]]]:
-        """The given pieces in another order, and the tokens of each."""
-        order = sorted(pieces, key=len)
-        todo = [p.encode() for p in order]
-        out: list[list[int]] = [[]] * len(todo)
-        sizes = np.fromiter(map(len, todo), np.int64, len(todo))
-        low = 0
+    def learn(self, pieces: list[str]) -> list[bytes]:
+        """The tokens of each piece, as little-endian 32-bit numbers."""
+        out = [b""] * len(pieces)
+        _, offsets, data = pa.array(pieces, pa.large_string()).buffers()
+        edges = np.frombuffer(offsets, np.int64, len(pieces) + 1) if pieces else np.zeros(1, np.int64)
+        flat, sizes, low = np.frombuffer(data or b"", np.uint8), np.diff(edges), 0
         for most in (2, 3, 5, 9, 17, 33, SIDE_BY_SIDE):
-            at = np.flatnonzero((sizes > low) & (sizes <= most)).tolist()
-            for k, ids in zip(at, self.merge_many([todo[k] for k in at]) if at else [], strict=True):
-                out[k] = ids
+            at = np.flatnonzero((sizes > low) & (sizes <= most))
+            if len(at):
+                ids, counts = self.merge_many(flat, edges[at], sizes[at])
+                blob, ends = ids.tobytes(), [0, *(4 * np.cumsum(counts)).tolist()]
+                for k, a, z in zip(at.tolist(), ends, ends[1:], strict=False):
+                    out[k] = blob[a:z]
             low = most
         for k in np.flatnonzero(sizes > low).tolist():
-            out[k] = self.merge(todo[k])
-        return order, out
+            ids = self.merge(pieces[k].encode())
+            out[k] = struct.pack(f"<{len(ids)}I", *ids)
+        return out
 
     def parts(self, text: str) -> list[list[str] | int]:
         """Parts of a text: lists of pieces, and ids of special tokens between them."""
@@ -245,83 +290,160 @@ class Encoder:
             return [self.special[p] if p in self.special else self.pieces(self.normalised(p)) for p in cut if p]
         return [self.pieces(self.normalised(text))]
 
+    def plain(self, text: str) -> str | None:
+        """The normalised text if white space parts its pieces and nothing in it is special, else None."""
+        if not self.by_space or NOT_PLAIN.search(text) or (self.special and any(s in text for s in self.special)):
+            return None
+        return unicodedata.normalize("NFC", text).lower()
+
     def decode(self, ids: Iterable[int]) -> str:
         return " ".join([self.tokens[i] for i in ids])
 
 
+def _listed(words: pa.Array) -> list[str]:
+    """Words without blanks as Python strings; quicker than to_pylist()."""
+    if not len(words):
+        return []
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py().split(" ")
+
+
 class Memory:
-    """Pieces already encoded, each under the values that `made(ids)` gives."""
-
-    def __init__(self, encoder: Encoder, *made):
-        self.encoder, self.made = encoder, made
-        self.kept: list[dict] = [{} for _ in made]
-
-    def ready(self, pieces: set[str]) -> None:
-        if len(self.kept[0]) + len(pieces) > MOST_PIECES:
-            for d in self.kept:
-                d.clear()
-        first = self.kept[0]
-        order, ids = self.encoder.learn([p for p in pieces if p not in first])
-        for d, f in zip(self.kept, self.made, strict=True):
-            d.update(zip(order, map(f, ids), strict=True))
-
-    def batches(self, texts: list[str]) -> Iterator[tuple[int, list[list[str] | int]]]:
-        """Number and parts of each text, once all its pieces are ready."""
+    """Ids of words already encoded, as little-endian 32-bit numbers, in a younger and an older half."""
+
+    def __init__(self, encoder: Encoder, most: int = MOST_WORDS):
+        self.encoder, self.most = encoder, most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct normalised words, each a run without white space."""
+        out = list(map(self.young.get, words))
+        miss = [k for k, v in enumerate(out) if v is None]
+        older = list(map(self.old.get, [words[k] for k in miss]))
+        fresh = []
+        for k, v in zip(miss, older, strict=True):
+            if v is None:
+                fresh.append(k)
+            else:
+                out[k] = self.young[words[k]] = v
+        # A word of letters is one piece; the others are cut.
+        lone = [words[k] for k in fresh if words[k].isalpha()]
+        learned = self.encoder.learn(lone)
+        self.young.update(zip(lone, learned, strict=True))
+        found = iter(learned)
+        cut = []
+        for k in fresh:
+            if words[k].isalpha():
+                out[k] = next(found)
+            else:
+                cut.append((k, self.encoder.cut.findall(words[k])))
+        known = self.pieces({p for _, ps in cut for p in ps})
+        for k, ps in cut:
+            v = out[k] = b"".join([known[p] for p in ps])
+            if len(words[k]) <= LONGEST_WORD:
+                self.young[words[k]] = v
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        return out
+
+    def pieces(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of pieces, which aren't remembered by this."""
+        known = {p: v for p in pieces if (v := self.young.get(p) or self.old.get(p)) is not None}
+        fresh = [p for p in pieces if p not in known]
+        known.update(zip(fresh, self.encoder.learn(fresh), strict=True))
+        return known
+
+    def _parts(self, text: str) -> np.ndarray:
+        """Ids of a text that isn't plain."""
+        parts = self.encoder.parts(text)
+        known = self.pieces({p for part in parts if not isinstance(part, int) for p in part})
+        blob = b"".join([struct.pack("<I", part) if isinstance(part, int) else b"".join([known[p] for p in part]) for part in parts])
+        return np.frombuffer(blob, "<u4")
+
+    def slices(self, texts: list[str]) -> Iterator[list[np.ndarray]]:
+        """The ids of each text, for runs of texts of about SLICE_CHARS characters."""
         at = 0
         while at < len(texts):
-            chars, group, pieces = 0, [], set()
-            while at < len(texts) and (not group or chars < BATCH_CHARS):
-                parts = self.encoder.parts(texts[at])
-                for p in parts:
-                    if not isinstance(p, int):
-                        pieces.update(p)
-                chars += len(texts[at])
-                group.append((at, parts))
-                at += 1
-            self.ready(pieces)
-            yield from group
+            end, chars = at, 0
+            while end < len(texts) and chars < SLICE_CHARS:
+                chars += len(texts[end])
+                end += 1
+            yield self._slice(texts[at:end])
+            at = end
+
+    def _slice(self, texts: list[str]) -> list[np.ndarray]:
+        lows = list(map(self.encoder.plain, texts))
+        split = pc.utf8_split_whitespace(pa.array([t or "" for t in lows], pa.string()))
+        numbered = split.flatten().dictionary_encode()
+        blobs = self.words(_listed(numbered.dictionary))
+        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        ids, starts = np.frombuffer(b"".join(blobs), "<u4"), np.cumsum(sizes) - sizes
+        which = numbered.indices.to_numpy()
+        many = sizes[which]
+        ends = np.cumsum(many)
+        flat = ids[np.repeat(starts[which] - (ends - many), many) + np.arange(int(many.sum()))]
+        bounds = np.append(0, ends)[split.offsets.to_numpy()].tolist()
+        return [flat[a:z] if t is not None else self._parts(text) for t, text, a, z in zip(lows, texts, bounds, bounds[1:], strict=False)]
 
 
 @lru_cache(maxsize=2)
+def memory(path: str) -> Memory:
+    """The one memory of a worker: encoding and packing share it."""
+    return Memory(Encoder(path))
+
+
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return memory(path).encoder
+
+
+class Strings:
+    """Ids of many texts as text: numbers or tokens, joined by one blank."""
+
+    def __init__(self, encoder: Encoder):
+        self.numbers, self.tokens = pa.array(map(str, range(encoder.size)), pa.string()), pa.array(encoder.tokens, pa.string())
+        self.longest = 1 + max(map(len, map(str.encode, encoder.tokens)))
+
+    def joined(self, ids: list[np.ndarray], names: pa.Array) -> list[memoryview]:
+        """UTF-8 of each text's ids under their names."""
+        ends = np.cumsum([0, *map(len, ids)])
+        if ends[-1] * self.longest >= 2**31:  # beyond what one Arrow string array holds: in pieces
+            half = len(ids) // 2
+            if half:
+                return self.joined(ids[:half], names) + self.joined(ids[half:], names)
+            step = 2**30 // self.longest
+            whole = b" ".join(bytes(self.joined([ids[0][k : k + step]], names)[0]) for k in range(0, len(ids[0]), step))
+            return [memoryview(whole)]
+        listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), names.take(pa.array(np.concatenate(ids))))
+        out = pc.binary_join(listed, " ")
+        _, offsets, data = out.buffers()
+        at, view = np.frombuffer(offsets, np.int32, len(ids) + 1).tolist(), memoryview(data or b"")
+        return [view[a:z] for a, z in zip(at, at[1:], strict=False)]
 
 
 @lru_cache(maxsize=2)
-def _digest_memory(path: str) -> Memory:
-    e = encoder(path)
-    strings = [str(i) for i in range(e.size)]
-    return Memory(e, lambda ids: " ".join([strings[i] for i in ids]), e.decode)
-
-
-def encoded(texts: list[str], path: str) -> Iterator[tuple[str, str]]:
-    """The ids, joined by one blank, and the decoded text of each text."""
-    memory = _digest_memory(path)
-    ids_of, text_of = memory.kept
-    for _, parts in memory.batches(texts):
-        ids, back = [], []
-        for p in parts:
-            if isinstance(p, int):
-                ids.append(str(p))
-                back.append(memory.encoder.tokens[p])
-            elif p:
-                ids.append(" ".join(map(ids_of.__getitem__, p)))
-                back.append(" ".join(map(text_of.__getitem__, p)))
-        yield " ".join(ids), " ".join(back)
+def strings(path: str) -> Strings:
+    return Strings(encoder(path))
+
+
+def encoded(texts: list[str], path: str) -> Iterator[tuple[int, memoryview, memoryview]]:
+    """The number of ids, the ids joined by one blank, and the decoded text, in UTF-8, of each text."""
+    names = strings(path)
+    for ids in memory(path).slices(texts):
+        yield from zip(map(len, ids), names.joined(ids, names.numbers), names.joined(ids, names.tokens), strict=True)
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, texts: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if texts, ids and decoded themselves."""
     path = path or tokenizer_path()
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids string, decoded string" * texts
-    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} | ({"ids": pa.string(), "decoded": pa.string()} if texts else {})
 
     def run(batches):
         for b in batches:
-            rows = list(zip(*((i.count(" ") + 1 if i else 0, sha(i), sha(d), *((i, d) if texts else ())) for i, d in encoded(b.column("text").to_pylist(), path)), strict=True)) or [()] * (5 if texts else 3)
-            names = ["n_tokens", "ids_sha256", "decoded_sha256", *(("ids", "decoded") if texts else ())]
-            kinds = [pa.int64(), pa.string(), pa.string(), *((pa.string(), pa.string()) if texts else ())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(r, k) for r, k in zip(rows, kinds, strict=True))], names=["doc_id", *names])
+            rows = [(n, sha(i), sha(d), *((str(i, "utf-8"), str(d, "utf-8")) if texts else ())) for n, i, d in encoded(b.column("text").to_pylist(), path)]
+            columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, columns, kinds.values())], names=["doc_id", *kinds])
 
     return keyed_texts(docs).mapInArrow(run, schema)
 

@@ -16,7 +16,6 @@ from __future__ import annotations
 import struct
 import zlib
 from collections import defaultdict
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -38,30 +37,20 @@ BLOCKS = 1024
 # --- pieces ---
 
 
-@lru_cache(maxsize=2)
-def _memory(path: str) -> bpe.Memory:
-    return bpe.Memory(bpe.encoder(path), lambda ids: struct.pack(f"<{len(ids)}I", *ids))
-
-
-def id_bytes(texts: list[str], path: str):
-    """The ids of each text as little-endian unsigned 32-bit numbers."""
-    memory = _memory(path)
-    kept = memory.kept[0]
-    for _, parts in memory.batches(texts):
-        yield b"".join([struct.pack("<I", p) if isinstance(p, int) else b"".join(map(kept.__getitem__, p)) for p in parts])
-
-
 def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: every document with its end mark, cut at `capacity` tokens."""
     path = path or bpe.tokenizer_path()
-    end, step = struct.pack("<I", end_id), 4 * capacity
+    end = struct.pack("<I", end_id)
 
     def run(batches):
         for b in batches:
-            ids, out = b.column("doc_id").to_pylist(), []
-            for doc, blob in zip(ids, id_bytes(b.column("text").to_pylist(), path), strict=True):
-                blob += end
-                out.extend((doc, k // step, k // 4, min(step, len(blob) - k) // 4, zlib.crc32(blob[k : k + step])) for k in range(0, len(blob), step))
+            out, docs = [], iter(b.column("doc_id").to_pylist())
+            for group in bpe.memory(path).slices(b.column("text").to_pylist()):
+                for ids, doc in zip(group, docs, strict=False):
+                    n = len(ids)
+                    for k in range(0, n + 1, capacity):
+                        crc = zlib.crc32(ids[k : k + capacity].tobytes())
+                        out.append((doc, k // capacity, k, min(capacity, n + 1 - k), zlib.crc32(end, crc) if n - k < capacity else crc))
             cols = zip(*out, strict=True) if out else ((),) * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])

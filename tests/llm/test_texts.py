@@ -1,5 +1,6 @@
 """Tokens, packing, media, pages and URLs, against the library, brute force or an exact round trip."""
 
+import hashlib
 import random
 import struct
 import zlib
@@ -30,6 +31,15 @@ def test_bpe_is_the_librarys(spark, library):
         ids = library.encode(t or "", add_special_tokens=False).ids
         r = got[(i, " ".join(map(str, ids)))]
         assert r.n_tokens == len(ids) and r.decoded == library.decode(ids, skip_special_tokens=False)
+    # The query's own form: digests alone.
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = []
+    for i, t, _ in rows:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        want.append((str(i), len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))))
+    assert sorted((str(r[0]), *r[1:]) for r in bpe.encode_documents(df, texts=False).collect()) == sorted(want)
+    assert bpe.encode_documents(df.limit(0), texts=False).count() == 0
 
 
 @settings(max_examples=150, deadline=None)
@@ -38,16 +48,41 @@ def test_bpe_on_any_text(text):
     from tokenizers import Tokenizer
 
     lib = test_bpe_on_any_text.lib = getattr(test_bpe_on_any_text, "lib", None) or Tokenizer.from_file(bpe.tokenizer_path())
-    ((ids, decoded),) = bpe.encoded([text], bpe.tokenizer_path())
+    ((n, ids, decoded),) = bpe.encoded([text], bpe.tokenizer_path())
     want = lib.encode(text, add_special_tokens=False).ids
-    assert ids == " ".join(map(str, want)) and decoded == lib.decode(want, skip_special_tokens=False)
+    assert n == len(want) and str(ids, "utf-8") == " ".join(map(str, want)) and str(decoded, "utf-8") == lib.decode(want, skip_special_tokens=False)
 
 
 def test_one_tree_and_many_agree():
     e, rng = bpe.encoder(bpe.tokenizer_path()), random.Random(1)
-    pieces = ["".join(rng.choices("abcdehiornst", k=rng.randint(1, 40))).encode() for _ in range(300)]
-    assert [e.merge(p) for p in pieces] == e.merge_many(pieces)
-
+    pieces = ["".join(rng.choices("abcdehiornst", k=rng.randint(1, 40))) for _ in range(300)]
+    pieces += ["x", "ab", "q" * 64]
+    assert [list(np.frombuffer(b, "<u4")) for b in e.learn(pieces)] == [e.merge(p.encode()) for p in pieces]
+
+
+def test_pair_ranks_are_found_by_hash():
+    e = bpe.encoder(bpe.tokenizer_path())
+    keys = np.array([*e.rank, *(k + 1 for k in e.rank)], np.int64)
+    assert e._ranks(keys // e.size, keys % e.size).tolist() == [e.rank.get(k, e.nothing) for k in keys.tolist()]
+
+
+def test_a_forgetful_memory_gives_the_same_ids():
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("abcé',.1", k=rng.randint(1, 9))) for _ in range(300)) for _ in range(40)]
+    e = bpe.encoder(bpe.tokenizer_path())
+    small, large = bpe.Memory(e, 50), bpe.Memory(e)
+    for k in range(0, 40, 5):
+        for a, b in zip(small.slices(texts[k : k + 5]), large.slices(texts[k : k + 5])):
+            assert all((x == y).all() for x, y in zip(a, b, strict=True))
+    assert len(small.young) <= 50 + 1500
+
+
+def test_joined_in_pieces(monkeypatch):
+    names = bpe.strings(bpe.tokenizer_path())
+    ids = [np.arange(n, dtype="<u4") for n in (0, 5, 70000 % names.tokens.__len__(), 3)]
+    whole = [bytes(x) for x in names.joined(ids, names.numbers)]
+    monkeypatch.setattr(names, "longest", 2**31 // 1000)
+    assert [bytes(x) for x in names.joined(ids, names.numbers)] == whole
 
 def test_packing(spark, library):
     rng = random.Random(2)
