@@ -5,9 +5,10 @@ whose document frequency is much higher among toxic rows; two folds, each counte
 trees over lexicon densities, nearness to second-person words, capitals, punctuation and obfuscation rates.
 Out-of-fold predictions calibrate the trees. Every whole text is then scored while it is read.
 
-Defined results: null text counts as empty and gets the score of a text without any sign; without labels of
-both kinds every score is the labelled share of label 1 (0 without labels); a null doc_id is not held out;
-repeated rows each get their own, equal result; columns other than doc_id and text are ignored.
+Defined results: null text counts as empty and gets the score of a text without any sign; a very long text is read
+whole; without labels of both kinds every score is the labelled share of label 1 (0 without labels); of labelled rows
+with equal hashes the least doc_id is sampled first; a null doc_id is not held out; repeated rows each get their own,
+equal result; an empty table gives an empty result; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from .common import keyed_texts, stored, table
 #: Labelled rows to learn from, at most; they are those of least hash.
 SAMPLE = 20_000
 THRESHOLD = 0.3
-#: Lexicon: letters of a stem, least toxic rows with an entry, least log odds, entries at most.
-STEM, LEAST_ROWS, LEAST_ODDS, MOST_ENTRIES = 5, 4, 2.0, 20_000
+#: Lexicon: letters of a stem, least toxic rows with an entry, least log odds.
+STEM, LEAST_ROWS, LEAST_ODDS = 5, 4, 2.0
 #: Words on either side that are near.
 NEAR = 4
 MOST_TOKENS = 300_000
@@ -115,7 +116,7 @@ class Reader:
         # Document frequencies know nothing of how long a text is, so a sum of odds stands beside the densities.
         return [
             *(c / n for c in count), math.log1p(count[0]), math.log1p(count[1] + count[3]), float(odds.sum()) / n, strong, float(odds.sum()), near / n, math.log1p(near), crowd / n,
-            len({words[i].lower() for i in places[:64].tolist()}), math.log1p(len(words)), float(chars[65:91].sum()) / letters, rate("!"), rate("?"), rate("*#$%&@"), rate("0123456789"), rate(".,;:"), float(count[0] + count[1] + count[3]) / n,
+            len({words[i].lower() for i in places.tolist()}), math.log1p(len(words)), float(chars[65:91].sum()) / letters, rate("!"), rate("?"), rate("*#$%&@"), rate("0123456789"), rate(".,;:"), float(count[0] + count[1] + count[3]) / n,
         ]
 
 
@@ -143,19 +144,16 @@ def lexicons(rows: DataFrame) -> tuple[dict, dict, dict]:
     size = {(r["fold"], r["y"]): r["count"] for r in rows.groupBy("fold", F.col("__q_y").alias("y")).count().collect()}
     each = rows.select("fold", "__q_y", F.explode(entries(F.col("text"))).alias("entry"))
     cells = [F.count(F.when((F.col("fold") == f) & (F.col("__q_y") == y), 1)).alias(f"c{f}{y}") for f in (0, 1) for y in (0, 1)]
-    counts = each.groupBy("entry").agg(*cells).filter(f"c01 + c11 >= {LEAST_ROWS} AND (c01 + c11) > (c00 + c10) * 0.2")
-    found = counts.orderBy(F.desc(F.col("c01") + F.col("c11")), "entry").limit(MOST_ENTRIES).collect()
-    out = []
-    for folds in ((0,), (1,), (0, 1)):
+    counts = each.groupBy("entry").agg(*cells)
+    parts = {}
+    for name, folds in (("first", (0,)), ("second", (1,)), ("both", (0, 1))):
         n1, n0 = (sum(size.get((f, float(y)), 0) for f in folds) for y in (1, 0))
-        lexicon = {}
-        for r in found:
-            c1, c0 = (sum(r[f"c{f}{y}"] for f in folds) for y in (1, 0))
-            odds = math.log((c1 + 0.5) / (n1 + 1)) - math.log((c0 + 0.5) / (n0 + 1))
-            if c1 >= LEAST_ROWS * len(folds) / 2 and odds >= LEAST_ODDS:
-                lexicon[r["entry"]] = odds
-        out.append(lexicon)
-    return tuple(out)
+        c1, c0 = (sum((F.col(f"c{f}{y}") for f in folds), F.lit(0)) for y in (1, 0))
+        odds = F.log((c1 + 0.5) / F.lit(n1 + 1.0)) - F.log((c0 + 0.5) / F.lit(n0 + 1.0))
+        parts[name] = F.when((c1 >= LEAST_ROWS * len(folds) / 2) & (odds >= LEAST_ODDS), odds).alias(name)
+    # Words of a bounded sample that are LEAST_ROWS times in its toxic rows: all of them are taken.
+    found = counts.select("entry", *parts.values()).filter("first IS NOT NULL OR second IS NOT NULL OR both IS NOT NULL").collect()
+    return tuple({r["entry"]: r[name] for r in found if r[name] is not None} for name in parts)
 
 
 class Model:
