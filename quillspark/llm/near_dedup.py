@@ -14,9 +14,14 @@ rounds have found no link in what is left (large buckets of documents that are a
 exact join ends them all: of similar sets, the rarest shingles of both must share one (prefix filter), and
 every pair of different classes that does is verified.
 
+Nodes are word sequences, named by their least doc_id; where one doc_id names several sequences (repeated ids with
+different texts), those get numbers of their own, so no row is taken for another.
+
 Defined results: null text counts as empty, and texts without a word are copies of each other; a text of fewer
-than WORDS words is one shingle; rows with the same doc_id are one node; rows with a null doc_id take the class
-of an equal text, else null; columns other than doc_id and text are ignored.
+than WORDS words is one shingle; a very long text is read whole, its processes side by side; of rows that share the
+class's least doc_id, those with the least word sequence are its representatives (repeated rows all are); rows with
+a null doc_id take the class of an equal text, else null; an empty table gives an empty result; columns other than
+doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, stored, table, with_ids
+from .common import keyed_texts, small, stored, table
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 25, 5
@@ -119,7 +124,7 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, k1, k2 (of the word sequence), bands; docs as keyed_texts gives them."""
+    """doc_id, h, k1, k2 (of the word sequence), bands; docs: doc_id, text and h (of the text)."""
 
     def flush(rows, out):
         full = [k for k, r in enumerate(rows) if len(r[2])]
@@ -145,13 +150,13 @@ def sketches(docs: DataFrame) -> DataFrame:
                     size = 0
             flush(rows, out)
             k1, k2, bands = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "k1", "k2", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "h", "k1", "k2", "bands"])
 
-    return docs.mapInArrow(run, "doc_id bigint, k1 bigint, k2 bigint, bands array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, h bigint, k1 bigint, k2 bigint, bands array<bigint>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """rep, sh: the distinct shingle hashes of each text."""
+    """rep, sh: the distinct shingle hashes of each text; docs: rep, text."""
 
     def run(batches):
         for b in batches:
@@ -160,9 +165,33 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 sets = [np.unique(shingles(words_of(t))).view(np.int64) for t in part.column("text").to_pylist()]
                 ends = np.cumsum([0, *map(len, sets)])
                 flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["rep", "sh"])
+                yield pa.RecordBatch.from_arrays([part.column("rep"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["rep", "sh"])
+
+    return docs.select("rep", "text").mapInArrow(run, "rep bigint, sh array<bigint>")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "rep bigint, sh array<bigint>")
+def collapsed(sketch: DataFrame) -> tuple[DataFrame, bool]:
+    """doc_id, h, k1, k2, rep (the node of the row's word sequence), first (the row stands for it), bands of those.
+
+    Stored; and whether some nodes aren't named by a doc_id.
+    """
+    # Equal word sequences; the third key makes both sides exchanges of the join, which AQE may split.
+    sketch = sketch.withColumn("k3", F.col("k1").bitwiseXOR(F.col("k2")))
+    least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "h"))).alias("least")
+    same = sketch.groupBy("k1", "k2").agg(least, F.count("*").alias("n")).filter("n > 1").drop("n").withColumn("k3", F.col("k1").bitwiseXOR(F.col("k2")))
+    first = F.coalesce((F.col("doc_id") == F.col("least.doc_id")) & (F.col("h") == F.col("least.h")), F.col("doc_id").isNotNull() & F.col("least").isNull())
+    rows = sketch.join(same, ["k1", "k2", "k3"], "left").select("doc_id", "h", "k1", "k2", F.coalesce("least.doc_id", "doc_id").alias("rep"), first.alias("first"), F.when(first, F.col("bands")).alias("bands"))
+    rows, renamed = stored(rows, "members"), 0
+    while True:
+        # Nodes whose name is another's too.
+        key = F.struct("k1", "k2")
+        shared = rows.filter("first").groupBy("rep").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).filter("lo < hi").select(F.col("rep").alias("old"))
+        shared = stored(shared, "shared-names")
+        if shared.isEmpty():
+            return rows, renamed > 0
+        renamed += 1
+        named = F.when(F.col("old").isNotNull(), F.xxhash64("k1", "k2", F.lit(renamed))).otherwise(F.col("rep"))
+        rows = stored(rows.join(small(shared), F.col("rep") == F.col("old"), "left").withColumn("rep", named).drop("old"), "members")
 
 
 def classes_of(edges: DataFrame) -> DataFrame:
@@ -221,19 +250,26 @@ def prefix_pairs(rest: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     return a.join(b, "token").filter(near).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
 
 
+def _sets(docs: DataFrame, members: DataFrame, central: DataFrame) -> DataFrame:
+    """rep, sh of the nodes in central, stored: each from one row's text."""
+    wanted = members.filter("first").select("rep", "doc_id", "h").join(central.select("rep"), "rep", "left_semi").distinct()
+    wanted = stored(wanted.select("rep", F.col("doc_id").alias("_id"), F.col("h").alias("_h")), "wanted")
+    # Texts meet their nodes; ids that are known to be few are broadcast.
+    met = docs.join(small(wanted), (F.col("doc_id") == F.col("_id")) & (F.col("h") == F.col("_h"))).select("rep", "text")
+    sets = stored(shingle_sets(met), "shingles")
+    # Rows that repeat a document whole gave its set again.
+    return sets if sets.count() == wanted.count() else stored(sets.dropDuplicates(["rep"]), "shingles")
+
+
 def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """doc_id, class_id (least doc_id of the class), is_representative: one row per row of docs."""
-    docs = keyed_texts(docs)
-    sketch = stored(sketches(docs), "sketches").withColumn("k3", F.col("k1").bitwiseXOR(F.col("k2")))
-    # Equal word sequences; the third key makes both sides exchanges of the join, which AQE may split.
-    same = sketch.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n").withColumn("k3", F.col("k1").bitwiseXOR(F.col("k2")))
-    members = sketch.join(same, ["k1", "k2", "k3"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), F.when(F.col("doc_id") == F.coalesce("rep", "doc_id"), F.col("bands")).alias("bands"))
-    members = stored(members, "members")
+    """doc_id, class_id (least doc_id of the class), is_representative, text_hash: one row per row of docs."""
+    docs = keyed_texts(docs).withColumn("h", F.xxhash64("text"))
+    members, renamed = collapsed(stored(sketches(docs), "sketches"))
     rows = members.filter("bands IS NOT NULL").select(F.explode("bands").alias("bucket"), "rep").distinct()
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").withColumn("b2", F.col("bucket") % 1009)
     shared = stored(rows.withColumn("b2", F.col("bucket") % 1009).join(sizes, ["bucket", "b2"]).select("bucket", "rep", "size"), "buckets")
     central = stored(shared.groupBy("rep").agg(F.sum("size").alias("score")), "central")
-    sets = stored(shingle_sets(with_ids(docs, central, "left_semi", "rep")), "shingles")
+    sets = _sets(docs, members, central)
     alive = stored(shared.join(central, "rep").select("bucket", "rep", "score", F.col("rep").alias("class")), "alive")
     label = central.select("rep", F.col("rep").alias("class"))
     renewed = lambda df, moved: df.join(moved.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("class", F.coalesce("root", "class")).drop("root")
@@ -272,8 +308,14 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         links = stored(verified(prefix_pairs(rest, sets, similar), sets, similar), "links")
         if not links.isEmpty():
             label = stored(renewed(label, moves(links)), "classes")
-    out = members.select("doc_id", "rep").join(label, "rep", "left").select("doc_id", F.coalesce("class", "rep").alias("class_id"))
-    return out.withColumn("is_representative", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    out = members.join(label, "rep", "left").select("doc_id", F.coalesce("class", "rep").alias("class_id"), "k1", "k2", F.col("h").alias("text_hash"))
+    stays = F.col("doc_id").eqNullSafe(F.col("class_id"))
+    if renamed:
+        key = F.struct("doc_id", "k1", "k2")
+        least = stored(out.filter("doc_id IS NOT NULL").groupBy("class_id").agg(F.min(key).alias("least")), "class-names")
+        out = out.join(least, "class_id", "left").withColumn("class_id", F.col("least.doc_id"))
+        stays = (key == F.col("least")) | (F.col("doc_id").isNull() & F.col("class_id").isNull())
+    return out.select("doc_id", "class_id", F.coalesce(stays, F.lit(False)).alias("is_representative"), "text_hash")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
