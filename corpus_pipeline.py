@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import exact_dedup, near_dedup, packing, quality, secret_scan
-from quillspark.llm.common import small, stored, table, with_ids
+from quillspark.llm.common import small, stored, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,10 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = near_dedup.near_classes(docs).filter("NOT is_representative AND doc_id IS NOT NULL")
-    return with_ids(docs, stored(gone.select("doc_id").distinct(), "near-copies"), "left_anti")
+    gone = stored(gone.select(F.col("doc_id").alias("__q_id"), F.col("text_hash").alias("__q_hash")).distinct(), "near-copies")
+    # Again text and id name a row.
+    here = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    return docs.join(small(gone), (docs["doc_id"] == F.col("__q_id")) & (here == F.col("__q_hash")), "left_anti")
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
