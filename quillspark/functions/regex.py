@@ -7,6 +7,10 @@ reads them as Unicode patterns whose only line end is the line feed.
 
 from __future__ import annotations
 
+# White space, at the ends of a text and after an end mark.
+SPACE = r"\s+"
+ENDS = r"^\s+|\s+$"
+SENTENCE_END = r"(?<=[.!?])\s+"
 #: Stands in a masked text for a quotation.
 QUOTE_MASK = "\x00QUOTE\x00"
 
@@ -26,7 +30,7 @@ def has(text: str, pattern: str, flags: str = "") -> str:
 
 
 def strip(text: str) -> str:
-    return f"regexp_replace({text}, {lit(java(chr(94) + r's+|s+$'.replace('s+', chr(92) + 's+')))}, '')"
+    return f"regexp_replace({text}, {lit(java(ENDS))}, '')"
 
 
 def cut(text: str, start: str, end: str) -> str:
@@ -36,28 +40,42 @@ def cut(text: str, start: str, end: str) -> str:
 
 def words(text: str) -> str:
     """Number of words between white space."""
-    return f"size(filter(split({text}, {lit(java(chr(92) + 's+'))}), w -> w <> ''))"
+    return f"size(filter(split({text}, {lit(java(SPACE))}), w -> w <> ''))"
 
 
 def sentences(text: str) -> str:
     """Number of sentences: parts between white space that follows an end mark."""
-    return f"size(filter(split({strip(text)}, {lit(java('(?<=[.!?])' + chr(92) + 's+'))}), w -> w <> ''))"
+    return f"size(filter(split({strip(text)}, {lit(java(SENTENCE_END))}), w -> w <> ''))"
 
 
-SPAN = "array<struct<s:int,e:int,m:string,g:string>>"
+SPAN = "array<struct<s:int,e:int,m:string,g:string,h:string>>"
 NONE = f"cast(array() as {SPAN})"
+#: Numbers that are added up in one fold; longer arrays are folded block by block, so that work grows with length.
+FOLD = 256
 
 
-def spans(text: str, pattern: str, flags: str = "", group: str = "") -> str:
-    """array of (s, e, m, g): start, end, match and the groups named in `group` (like "$1") of each match.
+def running(numbers: str) -> str:
+    """array<int>: for each number the sum of those before it."""
+    fold = lambda x, start: f"aggregate({x}, named_struct('at', {start}, 'out', cast(array() AS array<int>)), (a, v) -> named_struct('at', a.at + v, 'out', concat(a.out, array(a.at))), a -> a.out)"
+    blocks = f"transform(sequence(0, size(l) - 1, {FOLD}), k -> slice(l, k + 1, {FOLD}))"
+    sums = "transform(bs, b -> aggregate(b, 0, (x, y) -> x + y))"
+    long = f"transform(array({blocks}), bs -> flatten(zip_with(bs, {fold(sums, '0')}, (b, z) -> {fold('b', 'z')})))[0]"
+    return f"transform(array({numbers}), l -> IF(size(l) <= {FOLD}, {fold('l', '0')}, {long}))[0]"
 
-    One pass marks the matches in place, so look-around still sees the text's own neighbours; splitting at the
-    marks then gives their offsets.
+
+def spans(text: str, pattern: str, flags: str = "", group: str = "", other: str = "") -> str:
+    """array of (s, e, m, g, h): start, end and text of each match, and the groups named in `group` and `other` (like "$1").
+
+    The matches and what stands between them, taken apart by the same pattern, give the offsets.
     """
     p = lit(java(pattern, flags))
-    marked = f"regexp_replace({text}, {p}, '\\u0001$0\\u0003{group}\\u0002')"
-    m, g = "substring_index(x, '\\u0003', 1)", "substring_index(substring_index(x, '\\u0002', 1), '\\u0003', -1)"
-    found = f"named_struct('s', a.at, 'e', a.at + length({m}), 'm', {m}, 'g', {g})"
-    step = f"(a, x) -> named_struct('at', a.at + length(x) - length({g}) - 2, 'out', concat(a.out, array({found})))"
-    fold = f"aggregate(slice(p, 2, 1000000000), named_struct('at', length(p[0]), 'out', {NONE}), {step}, a -> a.out)"
-    return f"IF({text} RLIKE {p}, transform(array(split({marked}, '\\u0001')), p -> {fold})[0], {NONE})"
+
+    def groups(names: str) -> str:
+        parts = [f"regexp_extract_all({text}, {p}, {n})" for n in names.replace("$", "")]
+        return "null" if not parts else parts[0] if len(parts) == 1 else f"zip_with({parts[0]}, {parts[1]}, (x, y) -> concat(x, y))"
+
+    taken = f"named_struct('w', regexp_extract_all({text}, {p}, 0), 'b', transform(split({text}, {p}, -1), x -> length(x)), 'g', {groups(group)}, 'h', {groups(other)})"
+    steps = running("zip_with(o.w, slice(o.b, 1, size(o.w)), (x, y) -> length(x) + y)")
+    shown = lambda k, names: f"o.{k}[i]" if names else "''"
+    found = f"named_struct('s', at + o.b[i], 'e', at + o.b[i] + length(o.w[i]), 'm', o.w[i], 'g', {shown('g', group)}, 'h', {shown('h', other)})"
+    return f"IF({text} RLIKE {p}, transform(array({taken}), o -> transform({steps}, (at, i) -> {found}))[0], {NONE})"

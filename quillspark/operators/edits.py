@@ -10,7 +10,12 @@ from . import citations
 
 HEAVY = 0.40
 WORDS_PAID, WORDS_TRIAL = 5000, 3000
-SUGGESTION = "array<struct<original:string,revised:string,reason:string>>"
+SUGGESTION = "struct<original:string,revised:string,reason:string>"
+
+
+#: An answer that is nothing but an array, and the array within other text.
+WHOLE_ARRAY = r"(?s)^\s*\[.*\]\s*$"
+INNER_ARRAY = r"(?s)\[.*\]"
 
 
 def flat(text: str) -> str:
@@ -18,11 +23,18 @@ def flat(text: str) -> str:
 
 
 def payload(raw: str) -> str:
-    """The suggestions of a model's answer: a JSON array, bare, fenced or within other text; else none."""
+    """The suggestions of a model's answer: the objects of a JSON array, bare, fenced or within other text; else none.
+
+    array<struct<original, revised, reason>>, an item a row; an item that isn't an object is null, and so is a field
+    that isn't a string.
+    """
     clean = f"regexp_replace({strip(raw)}, {lit(java(r'^```(?:json)?\s*|\s*```$', 'm'))}, '')"
-    inner = f"regexp_extract({clean}, {lit('(?s)\\[.*\\]')}, 0)"
-    read = lambda x: f"from_json({x}, '{SUGGESTION}')"
-    return f"IF({clean} RLIKE {lit(r'(?s)^\s*\[.*\]\s*$')}, coalesce({read(clean)}, {read(inner)}), coalesce({read(inner)}, cast(array() AS {SUGGESTION})))"
+    inner = f"regexp_extract({clean}, {lit(INNER_ARRAY)}, 0)"
+    whole = f"try_parse_json(IF({clean} RLIKE {lit(WHOLE_ARRAY)}, {clean}, {inner}))"
+    items = f"coalesce(try_variant_get({whole}, '$', 'array<variant>'), try_variant_get(try_parse_json({inner}), '$', 'array<variant>'), cast(array() AS array<variant>))"
+    field = lambda c: f"IF(schema_of_variant(variant_get(v, '$.{c}')) = 'STRING', try_variant_get(v, '$.{c}', 'string'), null)"
+    made = ", ".join(f"'{c}', {field(c)}" for c in ("original", "revised", "reason"))
+    return f"transform({items}, v -> IF(startswith(schema_of_variant(v), 'OBJECT'), named_struct({made}), null))"
 
 
 def cited(rows: DataFrame, column: str, keys: tuple[str, ...]) -> DataFrame:

@@ -15,9 +15,12 @@ STAGE = 6
 
 
 def paragraph_findings(paragraphs: DataFrame, cfg: Config = Config(), rules=RULES) -> DataFrame:
-    """Findings of the rules that look at one body paragraph: one scan, one array, one explode."""
-    prose = paragraphs.filter("NOT is_ref AND level IS NULL").select("doc_id", "idx", F.translate("r", "\u0001\u0002\u0003", "").alias("r"), F.translate("m", "\u0001\u0002\u0003", "").alias("m"))
-    found = prose.selectExpr("doc_id", "idx", f"inline(concat({', '.join(r.sql(cfg, n) for n, r in enumerate(rules))}))")
+    """Findings of the rules that look at one body paragraph, in one scan: flags first, then places where a flag is up."""
+    prose = paragraphs.filter("NOT is_ref AND level IS NULL").select("doc_id", "idx", "r", "m")
+    flags = ", ".join(f"IF({r.flag(cfg)}, {n}, null)" for n, r in enumerate(rules))
+    hit = prose.selectExpr("doc_id", "idx", "r", "m", f"explode(array_compact(array({flags}))) AS n")
+    places = " ".join(f"WHEN {n} THEN {r.sql(cfg, n)}" for n, r in enumerate(rules))
+    found = hit.selectExpr("doc_id", "idx", f"inline(CASE n {places} END)")
     severity = F.create_map(*[F.lit(x) for r in rules for x in (r.rule_id, r.severity)])
     return found.withColumns({"stage": F.lit(STAGE), "severity": severity[F.col("rule_id")]}).select(*FINDING)
 
@@ -32,7 +35,7 @@ def document_findings(paragraphs: DataFrame, cfg: Config = Config()) -> DataFram
         references.entry_findings(paragraphs),
         structure.missing_indents(paragraphs),
     ]
-    return reduce(DataFrame.unionByName, [p.select(*FINDING) for p in parts])
+    return reduce(DataFrame.unionByName, [p.withColumn("replacement", F.lit(None).cast("string")).select(*FINDING) for p in parts])
 
 
 def findings(paragraphs: DataFrame, cfg: Config = Config(), rules=RULES) -> DataFrame:

@@ -50,7 +50,7 @@ def likely_heading(text: str) -> str:
 def from_text(docs: DataFrame, separator: str = "\n\n") -> DataFrame:
     """Paragraphs of pasted texts (doc_id, text); idx counts empty parts too, as the separator makes them."""
     parts = docs.selectExpr("doc_id", f"posexplode(split(coalesce(text, ''), {lit(separator)}, -1)) AS (idx, part)")
-    rows = parts.selectExpr("doc_id", "idx", f"{strip(chr(96) + 'part' + chr(96))} AS r").filter("r <> ''")
+    rows = parts.selectExpr("doc_id", "idx", f"{strip('`part`')} AS r").filter("r <> ''")
     rows = rows.withColumn("label", F.expr(has("r", LABEL, "i")))
     title = f"coalesce(before_label, false) AND length(r) <= {LONGEST_HEADING} AND NOT {has('r', SENTENCE_END)} AND NOT {has('r', PAREN_YEAR)}"
     rows = rows.withColumn("before_label", F.lag("label").over(in_doc()))

@@ -11,8 +11,9 @@ from .rules import WARNING, Config
 
 INDENT, INDENT_TOLERANCE, INDENT_WORDS, INDENT_SENTENCES = 720, 80, 25, 2
 ABSTRACT_WORDS, LIST_WORDS = 250, 8
-FINDING = "doc_id idx stage rank nth rule_id severity s e match excerpt".split()
-_WORD_COUNT = f"regexp_count(r, {lit(java(chr(92) + 'b' + chr(92) + 'w+' + chr(92) + 'b'))})"
+FINDING = "doc_id idx stage rank nth rule_id severity s e match excerpt replacement".split()
+WORD = r"\b\w+\b"  # fixed value
+_WORD_COUNT = f"regexp_count(r, {lit(java(WORD))})"
 
 
 def _found(rows: DataFrame, rule_id: str, stage: int, excerpt: str = "substring(r, 1, 80)") -> DataFrame:

@@ -9,32 +9,39 @@ from ..functions.regex import words
 from ..operators import annotate, citations, edits, findings, ledger, paragraphs, references, structure
 from ..operators.rules import RULES, Config
 from .manuscripts import PARAGRAPHS_SQL, manuscripts, of_family, positions, quoted, table
-from .templates import ENTRIES
+from .templates import ENTRIES, OTHERS, expected
 
 SETTINGS = Config(max_sentences=4, flag_first_person=True)
 FAMILIES = ("MEC", "STY", "BFL", "CIT", "TBL", "PRF")
 
 
 def rule_query(family: str):
-    """Findings of a family's rules, each in the paragraphs that are about it."""
+    """All that a family's rules find in manuscripts of the family's sentences."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         p = manuscripts(spark, sf_dir, family)
         found = findings.paragraph_findings(p, SETTINGS, tuple(r for r in RULES if r.family == family))
-        about = p.select("doc_id", "idx", "target")
-        return found.join(about, ["doc_id", "idx"]).filter("rule_id = target").select("doc_id", "idx", "rule_id", "s", "e", F.col("match").alias("found"))
+        return found.select("doc_id", "idx", "rule_id", "severity", "s", "e", F.col("match").alias("found"), "excerpt", F.coalesce("replacement", F.lit("")).alias("replacement"))
 
     return run
 
 
-def rule_sql(family: str) -> str:
-    rows = of_family(family)
+def expected_values(family: str) -> str:
+    """k, rule_id, severity, s, e, found, excerpt, replacement: what is to be found in each sentence of a family, as SQL values."""
     # Rules that count over a paragraph have no place of their own; their finding names the key or nothing.
     keys = {"CIT011": "Here Smith (2020)", "CIT019": "smith"}
-    values = ",\n".join(f"({k}, {quoted(rule)}, {quoted(text)}, {quoted(hit)}, {quoted(keys.get(rule, '') if hit == '' else hit)})" for k, rule, text, hit in rows)
-    at = "CAST(CASE WHEN hit = '' THEN 0 ELSE strpos(body, hit) - 1 END AS INTEGER)"
-    return f"""WITH p AS ({PARAGRAPHS_SQL.format(k=len(rows))}), t(k, rule_id, body, hit, found) AS (VALUES {values})
-SELECT doc_id, idx, rule_id, {at} AS s, CAST({at} + length(hit) AS INTEGER) AS e, found FROM p JOIN t USING (k) WHERE hit IS NOT NULL AND (rule_id <> 'MEC017' OR idx < 5)"""
+    rows = []
+    for k, rule, text, hit in of_family(family):
+        mine = [] if hit is None else [(rule, text.index(hit), hit)]
+        for r, at, m in dict.fromkeys((*mine, *OTHERS.get(text, ()))):
+            severity, s, e, excerpt, replacement = expected(r, text, at, m)
+            rows.append(f"({k}, {quoted(r)}, {quoted(severity)}, {s}, {e}, {quoted(keys.get(r, '') if m == '' else m)}, {quoted(excerpt)}, {quoted(replacement)})")
+    return ",\n".join(rows)
+
+
+def rule_sql(family: str) -> str:
+    return f"""WITH p AS ({PARAGRAPHS_SQL.format(k=len(of_family(family)))}), t(k, rule_id, severity, s, e, found, excerpt, replacement) AS (VALUES {expected_values(family)})
+SELECT doc_id, idx, rule_id, severity, CAST(s AS INTEGER) AS s, CAST(e AS INTEGER) AS e, found, excerpt, replacement FROM p JOIN t USING (k) WHERE rule_id <> 'MEC017' OR idx < 5"""
 
 
 # --- structure: one row of a document for each order, its kind by the order's key ---
@@ -99,22 +106,21 @@ def indent_rule(spark, sf_dir):
 
 
 def _entries(spark, sf_dir) -> DataFrame:
-    """Every tenth customer has the whole list of ENTRIES."""
+    """Every customer has the whole list of ENTRIES."""
     listed = spark.createDataFrame([(k, rule, text) for k, (rule, text) in enumerate(ENTRIES)], "idx int, target string, r string")
-    docs = table(spark, sf_dir, "customer").filter("c_custkey % 10 = 0").select(F.col("c_custkey").alias("doc_id"))
+    docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"))
     return docs.join(F.broadcast(listed)).withColumns({"is_ref": F.lit(True), "italic_ok": F.col("idx") % 7 != 3, "italic_excerpt": F.lit("")})  # every document has every entry of a fixed list
 
 
 def ref_rules(spark, sf_dir):
     rows = _entries(spark, sf_dir)
-    found = references.entry_findings(rows).join(rows.select("doc_id", "idx", "target"), ["doc_id", "idx"])
-    return found.filter("rule_id = target OR rule_id = 'REF026'").select("doc_id", "idx", "rule_id", "excerpt")
+    return references.entry_findings(rows).select("doc_id", "idx", "rule_id", "severity", "excerpt")
 
 
 _REF_SQL = f"""WITH t(idx, rule_id, body) AS (VALUES {", ".join(f"({k}, {quoted(r)}, {quoted(x)})" for k, (r, x) in enumerate(ENTRIES))}),
-d AS (SELECT c_custkey AS doc_id FROM customer WHERE c_custkey % 10 = 0)
-SELECT doc_id, idx, rule_id, CASE WHEN rule_id = 'REF021' THEN '' ELSE left(body, 80) END AS excerpt FROM d, t WHERE rule_id <> ''
-UNION ALL SELECT doc_id, idx, 'REF026', left(body, 80) FROM d, t WHERE idx % 7 = 3"""
+d AS (SELECT c_custkey AS doc_id FROM customer)
+SELECT doc_id, idx, rule_id, CASE WHEN rule_id IN ('REF006', 'REF008', 'REF019', 'REF025') THEN 'error' ELSE 'warning' END AS severity, CASE WHEN rule_id = 'REF021' THEN '' ELSE left(body, 80) END AS excerpt FROM d, t WHERE rule_id <> ''
+UNION ALL SELECT doc_id, idx, 'REF026', 'warning', left(body, 80) FROM d, t WHERE idx % 7 = 3"""
 
 
 # --- citations: orders cite nations, nations that sell are the bibliography ---
@@ -172,18 +178,18 @@ def cit_match(spark, sf_dir):
 
 
 def cit_uncited(spark, sf_dir):
-    c, r = _cites(spark, sf_dir)
-    return citations.uncited(citations.matched(c, r), r).select("doc_id", "line", "first_author")
+    return citations.uncited(*_cites(spark, sf_dir)).select("doc_id", "line", "first_author")
 
 
 def cit_misspelt(spark, sf_dir):
-    c, r = _cites(spark, sf_dir)
-    return citations.misspelt(citations.matched(c, r), r).select("doc_id", "idx", "line", "author", "first_author", F.col("distance").cast("long").alias("distance"))
+    return citations.misspelt(*_cites(spark, sf_dir)).select("doc_id", "idx", "line", "author", "first_author", F.col("distance").cast("long").alias("distance"))
 
 
 def cit_issues(spark, sf_dir):
-    """Number of issues by document and bucket."""
-    return citations.issues(*_cites(spark, sf_dir)).groupBy("doc_id", "bucket").agg(F.count("*").alias("n"))
+    """Every issue of every document."""
+    found = citations.issues(*_cites(spark, sf_dir))
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    return found.select("doc_id", "bucket", *map(blank, ("idx", "line", "citation", "reference", "distance", "cited_year")), F.coalesce(F.array_join("reference_years", ","), F.lit("")).alias("reference_years"), "severity")
 
 
 _UNCITED_SQL = """u AS (FROM r WHERE NOT EXISTS (FROM m WHERE m.doc_id = r.doc_id AND m.author = r.author AND ((branch = 'exact' AND cyear = ryear) OR branch = 'year_mismatch')))"""
@@ -380,7 +386,7 @@ def ref_text(spark, sf_dir):
 
 
 _REF_TEXT_SQL = f"""WITH t(idx, body) AS (VALUES {", ".join(f"({k}, {quoted(x)})" for k, (_, x) in enumerate(ENTRIES))})
-SELECT c_custkey AS doc_id, string_agg(body, chr(10) ORDER BY idx) AS refs FROM customer, t WHERE c_custkey % 10 = 0 GROUP BY c_custkey"""
+SELECT c_custkey AS doc_id, string_agg(body, chr(10) ORDER BY idx) AS refs FROM customer, t GROUP BY c_custkey"""
 
 
 def target_spans(spark, sf_dir):
@@ -476,9 +482,14 @@ SELECT doc_id, idx, 'MEC029' AS rule_id, array_to_string(items[1:3], '; ') AS ex
     "cit_match": f"WITH {_CITED_SQL} SELECT doc_id, idx, author, branch, CASE WHEN branch = 'year_mismatch' THEN (SELECT string_agg(ryear, ',' ORDER BY line) FROM r WHERE r.doc_id = m.doc_id AND r.author = m.author) ELSE '' END AS years FROM m",
     "cit_uncited": f"WITH {_CITED_SQL}, {_UNCITED_SQL} SELECT doc_id, line, author AS first_author FROM u",
     "cit_misspelt": f"WITH {_CITED_SQL}, {_MISSPELT_SQL} SELECT * FROM s",
-    "cit_issues": f"""WITH {_CITED_SQL}, {_UNCITED_SQL}, {_MISSPELT_SQL}
-SELECT doc_id, CASE branch WHEN 'year_mismatch' THEN 'year_mismatch' ELSE 'missing_reference' END AS bucket, count(*) AS n FROM m WHERE branch <> 'exact' GROUP BY ALL
-UNION ALL SELECT doc_id, 'uncited_reference', count(*) FROM u GROUP BY ALL UNION ALL SELECT doc_id, 'spelling_mismatch', count(*) FROM s GROUP BY ALL""",
+    "cit_issues": f"""WITH {_CITED_SQL}, {_UNCITED_SQL}, {_MISSPELT_SQL}, x AS (
+SELECT doc_id, branch AS bucket, idx, NULL AS line, raw AS citation, NULL AS reference, NULL AS distance, cyear AS cited_year,
+  (SELECT string_agg(ryear, ',' ORDER BY line) FROM r WHERE r.doc_id = m.doc_id AND r.author = m.author) AS reference_years, 'warning' AS severity FROM m WHERE branch IN ('year_mismatch', 'co_author_only')
+UNION ALL SELECT doc_id, 'missing_reference', idx, NULL, raw, NULL, NULL, NULL, NULL, CASE branch WHEN 'missing' THEN 'error' ELSE 'warning' END FROM m WHERE branch IN ('missing', 'substring')
+UNION ALL SELECT doc_id, 'uncited_reference', NULL, line, NULL, left(reference, 100), NULL, NULL, NULL, 'warning' FROM u
+UNION ALL SELECT s.doc_id, 'spelling_mismatch', s.idx, s.line, m.raw, left(r.reference, 100), distance, NULL, NULL, 'warning' FROM s JOIN m ON m.doc_id = s.doc_id AND m.idx = s.idx JOIN r ON r.doc_id = s.doc_id AND r.line = s.line)
+SELECT doc_id, bucket, coalesce(CAST(idx AS VARCHAR), '') AS idx, coalesce(CAST(line AS VARCHAR), '') AS line, coalesce(citation, '') AS citation, coalesce(reference, '') AS reference, coalesce(CAST(distance AS VARCHAR), '') AS distance,
+  coalesce(cited_year, '') AS cited_year, CASE WHEN bucket = 'year_mismatch' THEN reference_years ELSE '' END AS reference_years, severity FROM x""",
     "para_split": _PARA_SQL,
     "document_findings": r"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents WHERE lang = 'en'), h AS (
 SELECT doc_id, 'MEC006' AS rule_id, len(regexp_extract_all(t, '(?i)\b(\d+(?:\.\d+)?)\s+percent\b')) AS n FROM p

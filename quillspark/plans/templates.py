@@ -1,7 +1,8 @@
 """Sentences with known findings, from which manuscripts are made.
 
 Each is (rule, text); [[ ]] stands round what the rule finds, once, at that place. A text without marks is one
-in which the rule finds nothing.
+in which the rule finds nothing. OTHERS lists what other rules of the same family find in a text; nothing else is
+found in it by that family. REPLACED has what findings put in the place of their match; SEVERITIES how severe they are.
 """
 
 from __future__ import annotations
@@ -173,6 +174,65 @@ TEMPLATES = (
     ("PRF003", "Then they left. Nobody came."),
 )
 
+#: Text (without marks) -> (rule, start, match) that other rules of its family find.
+OTHERS = {
+    "They used twelve 15-point scales in it.": (("MEC004", 10, "twelve"),),
+    'He said "...later" and left.': (("MEC021", 8, '"...later"'),),
+    "There were parts: (1) one part, (2) another part.": (("MEC003", 19, "1"), ("MEC003", 33, "2")),
+    "People came. Bipolar Disorder was named.": (("STY001", 30, "was named"),),
+    "They asked for birth sex too.": (("BFL034", 15, "birth sex"),),
+    "They asked for natal sex too.": (("BFL019", 15, "natal sex"),),
+    "He knew (A. Lee, personal communication).": (("CIT014", 0, ""),),
+    "He knew (A. Lee, personal communication, May 4, 2020).": (("CIT014", 0, ""),),
+}
+REPLACED = {
+    ("MEC001", ".  "): ". ", ("MEC003", "6"): "six", ("MEC003", "1"): "one", ("MEC003", "2"): "two", ("MEC006", "45 percent"): "45%", ("MEC007", "p = 0.03"): "p = .03", ("MEC008", "r = 0.42"): "r = .42",
+    ("MEC010", "48200"): "48,200", ("MEC011", "1980's"): "1980s", ("MEC012", " — "): "—", ("MEC013", "highly-skilled"): "highly skilled", ("MEC014", "45 minutes"): "45 min", ("MEC018", "figure 12"): "Figure 12",
+    ("MEC019", "Page 12"): "page 12", ("MEC024", " - "): "—", ("MEC025", "4th"): "fourth", ("MEC026", "Director"): "director", ("MEC027", "dean Ann Lee"): "Dean Ann Lee", ("MEC028", '"...'): '"', ("MEC031", "three weeks"): "3 weeks",
+    ("STY002", "end result"): "result", ("STY003", "in order to"): "to", ("STY004", "students that completed"): "students who completed", ("STY009", "don't"): "do not", ("STY011", "e.g."): "for example", ("CIT005", "et al"): "et al.",
+    ("BFL001", "seniors"): "older adults", ("BFL002", "the elderly"): "older adults", ("BFL003", "elderly people"): "older adults", ("BFL004", "the aged"): "older adults", ("BFL005", "aging dependents"): "adults who require care",
+    ("BFL006", "wheelchair-bound"): "wheelchair user", ("BFL007", "confined to a wheelchair"): "uses a wheelchair", ("BFL008", "AIDS victim"): "person with AIDS", ("BFL009", "brain-damaged"): "person with a traumatic brain injury",
+    ("BFL010", "handicapped"): "person with a disability", ("BFL011", "the disabled"): "people with disabilities", ("BFL012", "the blind"): "people who are blind", ("BFL013", "the deaf"): "people who are deaf",
+    ("BFL014", "the mentally ill"): "people with mental illness", ("BFL015", "cripple"): "person with a physical disability", ("BFL016", "schizophrenic"): "person with schizophrenia", ("BFL017", "(s)he"): "they", ("BFL018", "he or she"): "they",
+    ("BFL018A", "the student read his"): "their", ("BFL019", "birth sex"): "sex assigned at birth", ("BFL019", "natal sex"): "sex assigned at birth", ("BFL020", "preferred pronouns"): "pronouns", ("BFL021", "policeman"): "police officer",
+    ("BFL022", "fireman"): "firefighter", ("BFL023", "stewardess"): "flight attendant", ("BFL024", "mailman"): "mail carrier", ("BFL025", "mankind"): "humankind", ("BFL026", "chairman"): "chair", ("BFL026A", "manpower"): "workforce / staffing / personnel",
+    ("BFL027", "Negro"): "Black or African American", ("BFL028", "Afro-American"): "African American", ("BFL029", "Oriental"): "Asian (or specify national/ethnic group)", ("BFL030", "Eskimo"): "Inuit or Yupik (specify group)",
+    ("BFL031", "Asian-American"): "Asian American", ("BFL032", "African-American"): "African American", ("BFL033", "Caucasian"): "White or European American (or specify origin)", ("BFL034", "birth sex"): "sex assigned at birth",
+    ("BFL034", "natal sex"): "sex assigned at birth", ("BFL035", "opposite sex"): "another sex / another gender", ("BFL_SO1", "sexual preference"): "sexual orientation", ("BFL_SO2", "homosexual"): "gay, lesbian, or bisexual (as appropriate)",
+}
+#: Rules that aren't warnings; all BFL rules are suggestions.
+SEVERITIES = {
+    **dict.fromkeys(("MEC011", "STY012", "CIT001", "CIT002", "CIT003", "CIT005"), "error"),
+    **dict.fromkeys(("CIT011", "CIT014", "CIT019", "TBL006", "PRF001", "PRF002", "PRF003"), "info"),
+    **dict.fromkeys(("MEC017", "STY001", "STY002", "STY003", "STY005", "STY007", "STY010", "STY013", "STY014", "STY015"), "suggestion"),
+}
+#: Rules that show the paragraph's opening, their match, their quotation, or so many characters after it.
+SHOWN = {
+    **dict.fromkeys(("MEC017", "CIT011", "CIT014", "CIT019", "CIT020", "PRF001", "PRF002"), "opening"),
+    **dict.fromkeys(("CIT003", "CIT004"), "match"),
+    **dict.fromkeys(("MEC020", "MEC021"), "quotation"),
+    **dict.fromkeys(("CIT001", "CIT002", "CIT007"), 5),
+    "MEC002": 40,
+}
+
+
+def expected(rule: str, text: str, start: int, hit: str) -> tuple[str, int, int, str, str]:
+    """(severity, start, end, excerpt, replacement) of a finding."""
+    end, how = start + len(hit), SHOWN.get(rule)
+    if how == "opening":
+        excerpt = text[:80]
+    elif how == "match":
+        excerpt = hit[:80]
+    elif how == "quotation":
+        excerpt = hit.strip('"')[:80]
+    elif how:
+        excerpt = text[start : end + how].strip()[:80]
+    else:
+        excerpt = text[max(0, start - 20) : end + 20].strip()[:80]
+    severity = "suggestion" if rule.startswith("BFL") else SEVERITIES.get(rule, "warning")
+    return severity, start, end, excerpt, REPLACED.get((rule, hit), "")
+
+
 #: One reference list: rule or none for each entry, in list order. Keys ascend except where REF018 is meant.
 ENTRIES = (
     ("REF001", "Aa, B. (2020). On rivers. http://doi.org/10.1234/abc"),
