@@ -1,17 +1,22 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one per block; lines of menus, adverts, forms and the like are stripped with
-their containers. Text lengths are summed over sliding windows of WINDOW lines. Where the sum surges, a text
-begins, and it goes on until the sum dives to nothing. The longest such stretch outside article and main elements
-shows the container of the main text: the least one around its long lines, where neighbours of the same tag and
-attributes are one container. All lines of a container are kept with the stretch, short ones between and after too;
-if it is the whole page, from the first surge on. Gaps of WINDOW empty lines stand where the page's own containers
-(article, main, the rest) meet, so that a stretch never runs from one into the other. Article and main elements are
-kept whole, and what is outside only if its stretch has more than PRIOR times the characters of all theirs.
+Markup is stripped into lines, one per block; lines of menus, adverts, forms and the like are stripped to nothing with
+their containers, but keep their places. Text lengths are summed over sliding windows of WINDOW lines. Where the sum
+surges, a text begins, and it goes on until the sum dives to nothing. Gaps of WINDOW empty lines stand where the page's
+own containers (article, main, the rest) meet, so that a stretch never runs from one into the other. The stretches
+between surge and dive decide what is kept:
+
+- Article and main elements that hold a stretch are kept whole, short lines before the surge and after the dive too;
+  those without one (teasers) are dropped.
+- Outside them the longest stretch shows the container of the main text: the least one around its long lines, where
+  neighbours of the same tag and attributes are one container. All its lines are kept with the stretch; if it is the
+  whole page, from the first surge on. It counts only if it has more than PRIOR times the characters of the stretches
+  in article and main elements.
 
 Defined results: null html counts as empty and gives an empty text; broken markup is read as far as it goes
-(an unclosed script or comment ends the page); repeated rows each get their own result; columns other than
-page_id, url and html are ignored.
+(an unclosed script or comment ends the page); a very long page is read whole, in time proportional to its length; of
+stretches of equal length the first counts; repeated rows each get their own result; an empty table gives an empty
+result; columns other than page_id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -53,7 +58,10 @@ _BOILER = re.compile(
 
 
 def lines_of(page: str) -> list[tuple[str, int, tuple]]:
-    """(text, zone, containers) of each block in page order; zone 0 is outside article and main, others number those."""
+    """(text, zone, containers) of each block in page order; zone 0 is outside article and main, others number those.
+
+    The text of a stripped block is empty.
+    """
     out: list[tuple[str, int, tuple]] = []
     buffer: list[str] = []
     stack: list[tuple[str, bool, int, tuple | None]] = []  # name, stripped, zone, containers as links to the outer ones
@@ -67,8 +75,8 @@ def lines_of(page: str) -> list[tuple[str, int, tuple]]:
             stripped, zone, inside = state()
             text = _SPACE.sub(" ", html.unescape("".join(buffer))).strip()
             buffer.clear()
-            if text and not stripped:
-                out.append((text, zone, inside))
+            if text:
+                out.append(("" if stripped else text, zone, inside))
 
     while True:
         m = _TAG.search(page, at)
@@ -127,21 +135,12 @@ def common(a: tuple | None, b: tuple | None) -> tuple | None:
     return a
 
 
-def main_text(page: str | None) -> str:
-    """The page's main text: its blocks joined by an empty line."""
-    lines = lines_of(page or "")
-    if not lines:
-        return ""
-    # Lines with gaps between zones.
-    rows: list[tuple[str, int, tuple | None]] = []
-    for line in lines:
-        if rows and rows[-1][1] != line[1]:
-            rows += [("", line[1], None)] * WINDOW
-        rows.append(line)
+def stretches_of(rows: list[tuple[str, int, tuple | None]]) -> tuple[list[tuple[int, int, int]], list[int], float]:
+    """(characters, from, to) of the lines between each surge and its dive; the lines' sizes; the sum that is a surge."""
     sizes = [len(t.replace(" ", "")) for t, _, _ in rows] + [0] * WINDOW
     sums = [sum(sizes[i : i + WINDOW]) for i in range(len(rows))]
-    surge = min(SURGE_CHARS, SURGE_SHARE * max(sums))
-    stretches, at = [], 0  # (in a main zone, characters, from, to)
+    surge = min(SURGE_CHARS, SURGE_SHARE * max(sums, default=0))
+    out, at = [], 0
     while at < len(rows):
         if sizes[at] and sums[at] >= surge:
             end = at
@@ -150,32 +149,59 @@ def main_text(page: str | None) -> str:
             # The dive: the windows that still hold the last long line.
             while end < len(rows) and sizes[end] and sizes[end] * WINDOW >= surge:
                 end += 1
-            stretches.append((bool(rows[at][1]), sum(sizes[at:end]), at, end))
+            out.append((sum(sizes[at:end]), at, end))
             at = end
         else:
             at += 1
-    outside = [s for s in stretches if not s[0]]
-    _, most, start, end = max(outside, key=lambda s: (s[1], -s[2]), default=(False, 0, 0, 0))
-    if any(z for _, z, _ in rows) and most <= PRIOR * sum(s[1] for s in stretches if s[0]):
-        return "\n\n".join(t for t, z, _ in rows if t and z)
-    held = [rows[k][2] for k in range(start, end) if sizes[k] * WINDOW >= surge] or [rows[start][2]]
-    holder = held[0]
-    for inside in held:
-        holder = common(holder, inside)
-    first = outside[0][2]
-    kept = lambda k, zone, inside: zone or start <= k < end or (((c := common(inside, holder)) and c[1] == holder[1]) if holder else k >= first)
-    return "\n\n".join(t for k, (t, zone, inside) in enumerate(rows) if t and kept(k, zone, inside))
+    return out, sizes, surge
+
+
+def extracted(page: str | None) -> tuple[str, int, int, int]:
+    """The page's main text, its blocks joined by an empty line; how many blocks the page has, how many of them lie
+    between a surge and a dive, and how many are kept."""
+    # Lines with gaps between zones.
+    rows: list[tuple[str, int, tuple | None]] = []
+    lines = lines_of(page or "")
+    for line in lines:
+        if rows and rows[-1][1] != line[1]:
+            rows += [("", line[1], None)] * WINDOW
+        rows.append(line)
+    stretches, sizes, surge = stretches_of(rows)
+    if not stretches:
+        return "", len(lines), 0, 0
+    inside = [s for s in stretches if rows[s[1]][1]]
+    outside = [s for s in stretches if not rows[s[1]][1]]
+    zones = {rows[start][1] for _, start, _ in inside}
+    most, start, end = max(outside, key=lambda s: (s[0], -s[1]), default=(0, 0, 0))
+    kept = [bool(t) and zone in zones for t, zone, _ in rows]
+    if most > PRIOR * sum(n for n, _, _ in inside):
+        held = [rows[k][2] for k in range(start, end) if sizes[k] * WINDOW >= surge] or [rows[start][2]]
+        holder = held[0]
+        for c in held:
+            holder = common(holder, c)
+        first = outside[0][1]
+        for k, (t, zone, c) in enumerate(rows):
+            if t and not zone and (start <= k < end or (((x := common(c, holder)) and x[1] == holder[1]) if holder else k >= first)):
+                kept[k] = True
+    text = "\n\n".join(t for (t, _, _), keep in zip(rows, kept, strict=True) if keep)
+    return text, len(lines), sum(end - start for _, start, end in stretches), sum(kept)
+
+
+def main_text(page: str | None) -> str:
+    return extracted(page)[0]
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars: one row per page."""
+    """page_id, url, text, n_chars, and n_blocks, n_between, n_kept as extracted() counts them: one row per page."""
 
     def run(batches):
         for b in batches:
-            texts = [main_text(h) for h in b.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            rows = [extracted(h) for h in b.column("html").to_pylist()]
+            text, *counts = zip(*rows, strict=True) if rows else [()] * 4
+            columns = [b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64()), *(pa.array(c, pa.int32()) for c in counts)]
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars", "n_blocks", "n_between", "n_kept"])
 
-    return small_batches(pages).select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
+    return small_batches(pages).select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint, n_blocks int, n_between int, n_kept int")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -206,19 +206,34 @@ def test_short_blocks_without_a_container_are_kept():
         assert html_text.main_text("".join(f"<p>{t}</p>" for t in blocks(*sizes))) == "\n\n".join(blocks(*sizes))
 
 
-def test_a_small_article_beside_the_text():
+def test_a_small_article_beside_the_text(monkeypatch):
     body, end = blocks(500, 5, 6, 7, 400), "<div class='end'>Bye.</div>"
     text = "".join(f"<p>{t}</p>" for t in body)
     teaser = "<article><h2>More</h2><p>A teaser that is short.</p></article>"
     for page in (f"<div class='post'>{text}</div>{teaser}{end}", f"<div class='post'>{text}{teaser}</div>{end}"):
-        assert html_text.main_text(page) == "\n\n".join([*body, "More", "A teaser that is short."])
+        # The teaser's windows hold no surge; with a lower one, it would be kept.
+        assert html_text.main_text(page) == "\n\n".join(body)
+        with monkeypatch.context() as m:
+            m.setattr(html_text, "SURGE_CHARS", 1)
+            assert html_text.main_text(page) == "\n\n".join([*body, "More", "A teaser that is short."])
     # An article that outweighs the rest is kept alone and whole, a stretch or not.
     assert html_text.main_text(f"<article><p>a</p><p>b</p><p>c</p><p>d</p>{text}</article><div class='x'><p>{'y ' * 400}</p></div>") == "\n\n".join(["a", "b", "c", "d", *body])
 
 
 def test_pages_query(spark):
     df = spark.createDataFrame([(1, "u", None, 1), (1, "u", None, 1), (2, None, "<p>Text</p>", 2)], "page_id long, url string, html string, text int")
-    assert sorted(tuple(r) for r in html_text.main_texts(df).fillna("none", "url").collect()) == [(1, "u", "", 0), (1, "u", "", 0), (2, "none", "Text", 4)]
+    assert sorted(tuple(r) for r in html_text.main_texts(df).fillna("none", "url").collect()) == [(1, "u", "", 0, 0, 0, 0), (1, "u", "", 0, 0, 0, 0), (2, "none", "Text", 4, 1, 1, 1)]
+    assert html_text.main_texts(df.limit(0)).count() == 0
+
+
+def test_windows_decide_on_every_page():
+    """Without a surge nothing is kept of any page, and blocks that lie between no surge and dive are counted."""
+    page = PAGE.replace("{open}", "<article>").replace("{close}", "</article>")
+    text, blocks, between, kept = html_text.extracted(page)
+    assert (blocks, between, kept) == (8, 4, 4) and text.count("\n\n") == 3
+    rows = html_text.lines_of(page)
+    assert [bool(t) for t, _, _ in rows] == [False, False, True, True, True, True, False, False]
+    assert [(a, z) for _, a, z in html_text.stretches_of(rows)[0]] == [(2, 6)]
 
 
 URLS = [None, "", "no scheme", "http://Example.COM/en/x?q#f", "https://www.example.com/en/", "http://a.b.net/es/1", "http://net/fr/", "http://net/frx", "http://com", "x://", "http://notcom/", "http://m.example.com/fr/a", "http://a..com/b", "ftp://" + "a." * 3000 + "com/x"]
