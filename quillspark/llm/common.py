@@ -12,22 +12,29 @@ from pyspark.sql import functions as F
 BROADCAST_IDS = 1_000_000
 
 
-#: Rows in an Arrow batch sent to Python; whole texts are long.
-BATCH_ROWS = 1000
+#: Rows and bytes in an Arrow batch sent to Python, at most: whole texts are long.
+BATCH_ROWS, BATCH_BYTES = 1000, "8m"
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, once the session sends Python small batches, unless it was given a size of its own."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(key) == "10000":
-        conf.set(key, str(BATCH_ROWS))
+    """df, once the session sends Python small batches.
+
+    This sets two settings of the session, as Spark has none for a plan, unless they differ from Spark's own defaults.
+    """
+    conf = df.sparkSession.conf
+    for key, usual, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", str(BATCH_ROWS)), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        if conf.get(key, usual) == usual:
+            conf.set(key, value)
     return df
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session names none (tests)."""
+    """The folder that driver and executors share; a temporary one only where all run in one process (tests, bench)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -53,9 +60,3 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
 def small(ids: DataFrame) -> DataFrame:
     """ids with a broadcast hint if a count proves them few; ids must be stored."""
     return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
-
-
-def with_ids(docs: DataFrame, ids: DataFrame, how: str, column: str = "doc_id") -> DataFrame:
-    """left_semi or left_anti join of docs with stored ids on docs.doc_id; a null doc_id never matches."""
-    key = ids.select(F.col(column).alias("__q_id"))
-    return docs.join(small(key), docs["doc_id"] == F.col("__q_id"), how)
