@@ -47,7 +47,28 @@ def findings(paragraphs: DataFrame, cfg: Config = Config(), rules=RULES) -> Data
     return found.join(place, ["doc_id", "idx"], "left").withColumn("category", category[F.substring("rule_id", 1, 3)])
 
 
-def in_order(found: DataFrame) -> DataFrame:
-    """Sorted by document, page, paragraph on it, index and rule, then as the rules emit."""
+def in_order(found: DataFrame, whole: bool = True) -> DataFrame:
+    """Sorted by document, page, paragraph on it, index and rule, then as the rules emit.
+
+    Without `whole` the documents are dealt out by hash and only each one's findings are in order.
+    """
     last = F.lit(10**9)
-    return found.orderBy("doc_id", F.coalesce("page", last), F.coalesce("para_on_page", last), "idx", "rule_id", "stage", "rank", "nth")
+    sort = found.orderBy if whole else found.repartition("doc_id").sortWithinPartitions
+    return sort("doc_id", F.coalesce("page", last), F.coalesce("para_on_page", last), "idx", "rule_id", "stage", "rank", "nth")
+
+
+def rule_sets(found: DataFrame, issues: DataFrame) -> DataFrame:
+    """doc_id, rules: the sorted distinct rule ids of a document's findings and buckets of its citation issues."""
+    ids = found.select("doc_id", F.col("rule_id").alias("id")).union(issues.select("doc_id", F.col("bucket").alias("id")))
+    return ids.groupBy("doc_id").agg(F.sort_array(F.collect_set("id")).alias("rules"))
+
+
+def missing_rules(wanted: DataFrame, sets: DataFrame) -> DataFrame:
+    """doc_id, missing, unexpected: rules that should have been found but weren't, and the other way round.
+
+    wanted: doc_id, rules; sets as rule_sets() gives them.
+    """
+    none = F.array().cast("array<string>")
+    both = wanted.withColumnRenamed("rules", "want").join(sets.withColumnRenamed("rules", "got"), "doc_id", "full_outer")
+    want, got = F.coalesce("want", none), F.coalesce("got", none)
+    return both.select("doc_id", F.array_except(want, got).alias("missing"), F.array_except(got, want).alias("unexpected"))

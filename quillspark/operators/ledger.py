@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import datetime as dt
+import hashlib
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORDS_PER_CREDIT, TRIAL_WORDS = 5000, 3000
 PASS_DAYS = 30
+#: What a balance reads in test mode.
+TEST_CREDITS = 999
 
 
 def active(rows: DataFrame, at: Column | str) -> DataFrame:
@@ -48,10 +54,48 @@ def fulfilled(events: DataFrame, passes: DataFrame, new: DataFrame) -> tuple[Dat
     return fresh, made.select(*[c for c in passes.columns if c in made.columns])
 
 
-def redeemed(invites: DataFrame, email: str, at: Column) -> DataFrame:
-    """The pass that an open invitation gives: its own number of days."""
-    mine = invites.filter((F.col("email") == F.lower(F.trim(F.lit(email)))) & (F.col("status") == "pending"))
-    return mine.select("email", F.lit("active").alias("status"), at.alias("starts_at"), (at + F.make_interval(days=F.col("duration_days"))).alias("expires_at"))
+def redeemed(invites: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(invites after, passes to append): each open invite goes once, to the first who asks for it.
+
+    invites: id, email, duration_days, status, invite_expires_at; asked: user_id, email, at.
+    """
+    wants = asked.select(F.col("user_id").alias("redeemed_by"), F.lower(F.trim("email")).alias("email"), F.col("at").alias("redeemed_at"))
+    meets = invites.filter("status = 'active'").select("id", "email", "duration_days", "invite_expires_at").join(wants, "email").filter("invite_expires_at IS NULL OR invite_expires_at > redeemed_at")
+    first = meets.groupBy("id").agg(F.min(F.struct("redeemed_at", "redeemed_by", "duration_days")).alias("x")).select("id", "x.*")
+    passes = first.select(F.col("redeemed_by").alias("user_id"), F.concat(F.lit("invite:"), F.col("id").cast("string")).alias("source"), F.lit("active").alias("status"), F.col("redeemed_at").alias("starts_at"), F.expr("redeemed_at + make_interval(0, 0, 0, duration_days)").alias("expires_at"))
+    after = invites.drop("redeemed_by", "redeemed_at").join(first.drop("duration_days"), "id", "left")
+    return after.withColumn("status", F.when(F.col("redeemed_at").isNotNull(), "redeemed").otherwise(F.col("status"))), passes
+
+
+def new_link(spark: SparkSession, at: dt.datetime, label: str | None = None) -> tuple[str, DataFrame]:
+    """(the secret, shown only now; the row to append): a link of PASS_DAYS days that keeps only the secret's hash."""
+    if label and "@" in label:
+        raise ValueError("a label must not hold an e-mail address")
+    token = secrets.token_urlsafe(32)
+    row = (hashlib.sha256(token.encode()).hexdigest(), label or None, "active", at, at + dt.timedelta(days=PASS_DAYS))
+    return token, spark.createDataFrame([row], "token_hash string, label string, status string, created_at timestamp, expires_at timestamp")
+
+
+def labels_allowed(links: DataFrame) -> DataFrame:
+    """Links whose label names no e-mail address."""
+    return links.filter(F.col("label").isNull() | ~F.contains(F.col("label"), F.lit("@")))
+
+
+def appended(rows: DataFrame, path: str) -> None:
+    """Add rows to a table folder; rows that have a status lie in a folder for each, so active ones are found without the rest."""
+    out = rows.write.mode("append")
+    (out.partitionBy("status") if "status" in rows.columns else out).parquet(path)
+
+
+def committed(done: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(credit events, request ids, trial users) to append for answered requests: user_id, request_id, is_trial, seq."""
+    charged = done.filter("NOT is_trial").select("user_id", "seq", F.lit(-1).alias("delta"))
+    return charged, done.select("request_id").distinct(), done.filter("is_trial").select("user_id").distinct()
+
+
+def added(users: DataFrame) -> DataFrame:
+    """Credit events to append for bought credits: user_id, seq, amount."""
+    return users.select("user_id", "seq", F.col("amount").alias("delta"))
 
 
 def balances(events: DataFrame) -> DataFrame:
@@ -65,11 +109,14 @@ def balances(events: DataFrame) -> DataFrame:
     return run.groupBy("user_id").agg((last - F.least(F.lit(0), F.min("total"))).cast("long").alias("balance"))
 
 
-def decided(requests: DataFrame, events: DataFrame, seen: DataFrame, trials: DataFrame) -> DataFrame:
+def decided(requests: DataFrame, events: DataFrame, seen: DataFrame, trials: DataFrame, test_mode: bool = False) -> DataFrame:
     """requests with allowed, reason and credits_remaining.
 
-    requests: user_id, request_id, words, is_trial; seen: request_id; trials: user_id of those who had one.
+    requests: user_id, request_id, words, is_trial; seen: request_id; trials: user_id of those who had one. In test
+    mode all are allowed.
     """
+    if test_mode:
+        return requests.select("user_id", "request_id", F.lit(True).alias("allowed"), F.lit("test_mode").alias("reason"), F.lit(TEST_CREDITS).cast("long").alias("credits_remaining"))
     r = requests.join(balances(events), "user_id", "left").join(seen.select("request_id").distinct().withColumn("seen", F.lit(True)), "request_id", "left")
     r = r.join(trials.select("user_id").distinct().withColumn("tried", F.lit(True)), "user_id", "left")
     has = F.coalesce("balance", F.lit(0))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.regex import words
+from ..functions.regex import lit, words
 from ..operators import annotate, citations, edits, findings, ledger, paragraphs, references, structure
 from ..operators.rules import RULES, Config
+from ..sources import docx
+from . import review
 from .manuscripts import PARAGRAPHS_SQL, manuscripts, of_family, positions, quoted, table
 from .templates import ENTRIES, OTHERS, expected
 
@@ -196,6 +200,13 @@ _UNCITED_SQL = """u AS (FROM r WHERE NOT EXISTS (FROM m WHERE m.doc_id = r.doc_i
 _MISSPELT_SQL = """s AS (SELECT m.doc_id, idx, line, m.author, r.author AS first_author, levenshtein(m.author, r.author) AS distance FROM m JOIN r ON m.doc_id = r.doc_id AND cyear = ryear AND m.author <> r.author
   WHERE levenshtein(m.author, r.author) BETWEEN 1 AND 2 QUALIFY row_number() OVER (PARTITION BY m.doc_id, least(m.author, r.author), greatest(m.author, r.author) ORDER BY idx, line) = 1)"""
 
+_ISSUES_SQL = f"""{_CITED_SQL}, {_UNCITED_SQL}, {_MISSPELT_SQL}, x AS (
+SELECT doc_id, branch AS bucket, idx, NULL AS line, raw AS citation, NULL AS reference, NULL AS distance, cyear AS cited_year,
+  (SELECT string_agg(ryear, ',' ORDER BY line) FROM r WHERE r.doc_id = m.doc_id AND r.author = m.author) AS reference_years, 'warning' AS severity FROM m WHERE branch IN ('year_mismatch', 'co_author_only')
+UNION ALL SELECT doc_id, 'missing_reference', idx, NULL, raw, NULL, NULL, NULL, NULL, CASE branch WHEN 'missing' THEN 'error' ELSE 'warning' END FROM m WHERE branch IN ('missing', 'substring')
+UNION ALL SELECT doc_id, 'uncited_reference', NULL, line, NULL, left(reference, 100), NULL, NULL, NULL, 'warning' FROM u
+UNION ALL SELECT s.doc_id, 'spelling_mismatch', s.idx, s.line, m.raw, left(r.reference, 100), distance, NULL, NULL, 'warning' FROM s JOIN m ON m.doc_id = s.doc_id AND m.idx = s.idx JOIN r ON r.doc_id = s.doc_id AND r.line = s.line)"""
+
 # --- texts ---
 
 
@@ -217,12 +228,21 @@ l AS (SELECT *, CASE WHEN label OR (after AND length(r) <= 200 AND NOT ends AND
 SELECT doc_id, count(*) AS paragraphs, count(*) FILTER (level IS NULL) AS body, max(idx) AS last_idx, count(*) FILTER (level IS NULL) AS on_page FROM l GROUP BY doc_id"""
 
 
+#: Rules that are a pattern without guards, which SQL counts too.
+PLAIN = tuple(r for r in RULES if r.pattern and r.text == "m" and not r.guards and not r.array and not r.gate and not any(x in r.pattern for x in ("(?<", "(?=", "(?!")))
+
+
 def document_findings(spark, sf_dir):
-    """Findings of four rules in the documents themselves (English ones, a paragraph a line), by rule."""
-    docs = table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", "text")
+    """What the rules that are a single pattern find in all documents, a paragraph a line, by rule."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     p = paragraphs.from_text(docs, "\n").withColumn("level", F.lit(None).cast("int"))
-    few = tuple(r for r in RULES if r.rule_id in ("MEC006", "MEC018", "STY007", "STY012"))
-    return findings.paragraph_findings(p, SETTINGS, few).groupBy("rule_id").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+    return findings.paragraph_findings(p, SETTINGS, PLAIN).groupBy("rule_id").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+
+
+def _document_sql() -> str:
+    counts = " UNION ALL ".join(f"SELECT doc_id, '{r.rule_id}' AS rule_id, len(regexp_extract_all(t, {quoted((f'(?{r.flags})' if r.flags else '') + r.pattern)})) AS n FROM p" for r in PLAIN)
+    return f"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents), h AS ({counts})
+SELECT rule_id, CAST(sum(n) AS BIGINT) AS n, count(DISTINCT doc_id) AS docs FROM h WHERE n > 0 GROUP BY rule_id"""
 
 
 def chunk_estimate(spark, sf_dir):
@@ -250,14 +270,50 @@ e AS (SELECT *, replace(replace(original, ' was ', ' is '), ' were ', ' are ') A
 SELECT doc_id, original, revised, 'passive voice (mock)' AS reason, CASE WHEN levenshtein(original, revised) / greatest(length(original), length(revised)) > 0.4 THEN 'heavy' ELSE 'light' END AS edit_type, 'kept' AS status FROM e"""
 
 
+#: Answers of a model to one text, by part key modulo their number, and (kept, not found, citation lock) of each; none: no edit at all.
+ANSWERS = (
+    ('[{"original": "The parts were late.", "revised": "Parts came late."}, {"original": "Nowhere to be seen.", "revised": "Seen."}, {"original": "It grew (Smith, 2020) at last.", "revised": "It grew at last."}]', (1, 1, 1)),
+    ('```json\n["x", {"original": "The parts were late.", "revised": "Parts came late."}, 5, null]\n```', (1, 0, 0)),
+    ('Here it is: [{"original": "Nowhere to be seen.", "revised": "Seen."}] as asked.', (0, 1, 0)),
+    ("There is nothing to change.", None),
+    ('[{"original": "It grew (Smith, 2020) at last.", "revised": "At last it grew (Smith, 2021)."}, {"original": "End.", "revised": "End."}, {"original": "  End. ", "revised": "The end.", "reason": "short"}]', (1, 0, 1)),
+)
+
+
 def edit_screen(spark, sf_dir):
-    """Counters over three proposals for each part: one kept, one that isn't in the text, one that drops a citation."""
+    """Counters over the edits that models propose for each part's text."""
     text = "It grew (Smith, 2020) at last. The parts were late. End."
-    answer = '[{"original": "The parts were late.", "revised": "Parts came late."}, {"original": "Nowhere to be seen.", "revised": "Seen."}, {"original": "It grew (Smith, 2020) at last.", "revised": "It grew at last."}]'
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(text).alias("text"), F.lit(answer).alias("answer"))
+    said = "CASE p_partkey % 5 " + " ".join(f"WHEN {k} THEN {lit(a)}" for k, (a, _) in enumerate(ANSWERS)) + " END"
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(text).alias("text"), F.expr(said).alias("answer"))
     return edits.screen_counts(edits.screened(p))
 
 
+_SCREEN_SQL = "SELECT p_partkey AS doc_id, n_kept::BIGINT AS n_kept, n_not_found::BIGINT AS n_not_found, n_citation_lock::BIGINT AS n_citation_lock FROM part JOIN (VALUES " + ", ".join(f"({k}, {n[0]}, {n[1]}, {n[2]})" for k, (_, n) in enumerate(ANSWERS) if n) + ") t(k, n_kept, n_not_found, n_citation_lock) ON p_partkey % 5 = k"
+
+
+def review_runs(spark, sf_dir):
+    """Reviews of two chunks a part; every third one's second chunk makes the model fail."""
+
+    def model(text: str) -> str:
+        if text == "fail":
+            raise RuntimeError("no answer")
+        return json.dumps([{"original": text, "revised": text.replace(" was ", " is ")}])
+
+    p = table(spark, sf_dir, "part").selectExpr("p_partkey AS doc_id", "array(concat('The ', p_name, ' was found.'), IF(p_partkey % 3 = 0, 'fail', 'It was here.')) AS texts")
+    said = review.answered(p.selectExpr("doc_id", "posexplode(texts) AS (chunk, text)"), model)
+    asked = p.selectExpr("doc_id", "doc_id % 10 AS user_id", "concat('r', doc_id) AS request_id", "doc_id % 2 = 0 AS is_trial")
+    responses, _, done = review.review_run(asked, said)
+    charged, _, _ = ledger.committed(done)
+    credits = charged.groupBy("user_id").agg(F.sum("delta").alias("charged"))
+    out = responses.join(credits, "user_id", "left")
+    return out.select("doc_id", "status", F.col("completed").cast("long").alias("completed"), F.coalesce("error", F.lit("")).alias("error"), "n_kept", F.coalesce("charged", F.lit(0)).alias("charged"))
+
+
+_RUNS_SQL = """WITH c AS (SELECT p_partkey % 10 AS u, sum(CASE WHEN p_partkey % 3 = 0 THEN -1 ELSE -2 END) AS charged FROM part WHERE p_partkey % 2 = 1 GROUP BY 1)
+SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 3 = 0 THEN 'error' ELSE 'ok' END AS status, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 2 END::BIGINT AS completed, CASE WHEN p_partkey % 3 = 0 THEN 'no answer' ELSE '' END AS error,
+  CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 2 END::BIGINT AS n_kept, coalesce(charged, 0)::BIGINT AS charged FROM part LEFT JOIN c ON p_partkey % 10 = u"""
+
+
 def edit_apply(spark, sf_dir):
     e = "array(named_struct('original', 'a', 'revised', '<1>'), named_struct('original', 'e', 'revised', '<2>'))"
     return table(spark, sf_dir, "part").selectExpr("p_partkey AS doc_id", f"{edits.applied('p_name', e)} AS text")
@@ -269,15 +325,36 @@ SELECT doc_id, CASE WHEN contains(t, 'e') THEN left(t, strpos(t, 'e') - 1) || '<
 # --- annotation rows ---
 
 
+def _sty_findings(spark, sf_dir):
+    return findings.paragraph_findings(manuscripts(spark, sf_dir, "STY").drop("target"), SETTINGS, tuple(r for r in RULES if r.family == "STY"))
+
+
 def annotation_rows(spark, sf_dir):
-    """Rows made of style findings and citation issues, without repeats, counted by kind and label."""
-    p = manuscripts(spark, sf_dir, "STY").drop("target")
-    found = findings.paragraph_findings(p, SETTINGS, tuple(r for r in RULES if r.rule_id in ("STY001", "STY002", "STY003")))
-    found = found.selectExpr("*", "rule_id AS label", "'' AS location", "concat(rule_id, ': ', match) AS message", "'' AS fix")
+    """Rows made of style findings (each there twice) and citation issues, without repeats, counted by kind and label."""
+    found = _sty_findings(spark, sf_dir).selectExpr("*", "rule_id AS label", "'' AS location", "concat(rule_id, ': ', match) AS message", "'' AS fix")
     rows = annotate.without_repeats(annotate.annotation_rows(found.union(found), citations.issues(*_cites(spark, sf_dir))))
     return rows.groupBy("kind", "label", "severity").agg(F.count("*").alias("n"))
 
 
+_STY_SQL = f"""sty AS (WITH p AS ({PARAGRAPHS_SQL.format(k=len(of_family('STY')))}), t(k, rule_id, severity, s, e, found, excerpt, replacement) AS (VALUES {expected_values('STY')}) SELECT doc_id, idx, rule_id, severity FROM p JOIN t USING (k))"""
+_ANNOTATION_SQL = f"""WITH {_STY_SQL}, {_ISSUES_SQL},
+a AS (SELECT DISTINCT doc_id, idx, CASE WHEN bucket = 'missing_reference' AND severity <> 'error' THEN 'Possible missing reference' ELSE
+  CASE bucket {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in annotate.LABELS.items())} END END AS label, upper(severity) AS severity, lower(coalesce(citation, '')) AS target FROM x)
+SELECT 'Rule' AS kind, rule_id AS label, upper(severity) AS severity, count(*) AS n FROM sty GROUP BY ALL UNION ALL SELECT 'Citation', label, severity, count(*) FROM a GROUP BY ALL"""
+
+
+def rule_sets(spark, sf_dir):
+    """The rules that style sentences and citations of a document break, and whether every one of STY001 to STY003 is among them."""
+    sets = findings.rule_sets(_sty_findings(spark, sf_dir), citations.issues(*_cites(spark, sf_dir)))
+    wanted = sets.select("doc_id", F.array(*[F.lit(r) for r in ("STY001", "STY002", "STY003")]).alias("rules"))
+    both = sets.join(findings.missing_rules(wanted, sets), "doc_id")
+    return both.select("doc_id", F.array_join("rules", ",").alias("rules"), F.array_join("missing", ",").alias("missing"))
+
+
+_SETS_SQL = f"""WITH {_STY_SQL}, {_ISSUES_SQL}, g AS (SELECT doc_id, rule_id AS id FROM sty UNION SELECT doc_id, bucket FROM x), d AS (SELECT doc_id, string_agg(id, ',' ORDER BY id) AS rules FROM g GROUP BY doc_id)
+SELECT doc_id, rules, array_to_string(list_filter(['STY001', 'STY002', 'STY003'], lambda i: NOT contains(rules, i)), ',') AS missing FROM d"""
+
+
 # --- ledger: events are purchases (+), clicks (-) and passes ---
 
 
@@ -431,6 +508,43 @@ def findings_places(spark, sf_dir):
 _PLACES_SQL = f"""WITH p AS ({PARAGRAPHS_SQL.format(k=len(of_family('TBL')))}) SELECT doc_id, idx, 1 AS page, idx + 1 AS para_on_page, 'table' AS category, 'warning' AS severity,
 'Page 1, Para ' || (idx + 1) || ' - "It is in the table above too."' AS location FROM p WHERE k = 0"""
 
+
+
+def invite_redeem(spark, sf_dir):
+    """Invites after customers have asked for them, some twice, and the passes that they got."""
+    c = table(spark, sf_dir, "customer")
+    start = "timestamp '2024-01-01 00:00:00'"
+    invites = c.selectExpr("c_custkey AS id", "concat(lower(c_name), '@a.org') AS email", "cast(10 + c_custkey % 20 AS int) AS duration_days", "CASE c_custkey % 4 WHEN 0 THEN 'revoked' ELSE 'active' END AS status", f"IF(c_custkey % 5 = 0, {start}, cast(null AS timestamp)) AS invite_expires_at")
+    asked = c.filter("c_custkey % 3 > 0").selectExpr("c_custkey * 10 AS user_id", "concat(' ', c_name, '@A.org ') AS email", f"{start} + make_interval(0, 0, 0, cast(c_custkey % 7 AS int)) AS at")
+    later = asked.selectExpr("user_id + 1 AS user_id", "email", "at + make_interval(0, 0, 0, 1) AS at")
+    after, passes = ledger.redeemed(invites, asked.union(later))
+    made = passes.select("user_id", "source", F.date_format("expires_at", "yyyy-MM-dd").alias("until"))
+    out = after.join(made, F.concat(F.lit("invite:"), F.col("id").cast("string")) == F.col("source"), "left")
+    return out.select("id", "status", F.coalesce("user_id", F.lit(0)).alias("user_id"), F.coalesce("until", F.lit("")).alias("until"))
+
+
+_INVITE_SQL = """SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'revoked' WHEN c_custkey % 3 > 0 AND c_custkey % 5 > 0 THEN 'redeemed' ELSE 'active' END AS status,
+  CASE WHEN c_custkey % 4 > 0 AND c_custkey % 3 > 0 AND c_custkey % 5 > 0 THEN c_custkey * 10 ELSE 0 END::BIGINT AS user_id,
+  CASE WHEN c_custkey % 4 > 0 AND c_custkey % 3 > 0 AND c_custkey % 5 > 0 THEN strftime(DATE '2024-01-01' + CAST(c_custkey % 7 + 10 + c_custkey % 20 AS INTEGER), '%Y-%m-%d') ELSE '' END AS until FROM customer"""
+
+
+def download_names(spark, sf_dir):
+    return table(spark, sf_dir, "part").selectExpr("p_partkey", f"{docx.download_name("concat('a/..', p_name, ' é!', p_partkey, IF(p_partkey % 2 = 0, '.docx', '.x.docx'))")} AS name", f"{docx.suffix_allowed("concat(p_name, IF(p_partkey % 3 = 0, '.pdf', '.DOCX'))")} AS allowed")
+
+
+_NAMES_SQL = r"""SELECT p_partkey, regexp_replace(regexp_replace('..' || p_name || ' é!' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '.x' END, '[^A-Za-z0-9_.-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') || '_reviewed.docx' AS name, p_partkey % 3 > 0 AS allowed FROM part"""
+
+
+def word_files(spark, sf_dir):
+    """The rows of word_structure by way of Word files: written, with a table in each that doesn't count, read back and classified."""
+    kinds = spark.createDataFrame([(k, *r[:8]) for k, r in enumerate(WORD_ROWS)], "k int, style string, text string, all_bold boolean, all_italic boolean, centered boolean, page_break boolean, numbered boolean, left_indent int")
+    p = positions(spark, sf_dir, 1 << 20).withColumn("k", ((F.col("k") + F.col("idx") * 7) % len(WORD_ROWS)).cast("int"))
+    rows = p.join(F.broadcast(kinds), "k").drop("k").withColumn("in_table", F.lit(False))
+    cell = rows.filter("idx = 0").withColumns({"idx": F.lit(-1), "text": F.lit("In a table."), "in_table": F.lit(True)})
+    raw = docx.read_files(docx.packed(rows.unionByName(cell)))
+    return structure.classified(raw).select(F.col("doc_id").cast("long").alias("doc_id"), "idx", F.coalesce("level", F.lit(-1)).alias("level"), "is_ref", "page", "para_on_page", "is_list")
+
+
 QUERIES = {
     **{f"rules_{f.lower()}": rule_query(f) for f in FAMILIES},
     "rules_ref": ref_rules,
@@ -465,6 +579,11 @@ QUERIES = {
     "payments": payments,
     "link_states": link_states,
     "findings_places": findings_places,
+    "review_runs": review_runs,
+    "rule_sets": rule_sets,
+    "invite_redeem": invite_redeem,
+    "download_names": download_names,
+    "word_files": word_files,
 }
 
 ORACLES = {
@@ -482,24 +601,15 @@ SELECT doc_id, idx, 'MEC029' AS rule_id, array_to_string(items[1:3], '; ') AS ex
     "cit_match": f"WITH {_CITED_SQL} SELECT doc_id, idx, author, branch, CASE WHEN branch = 'year_mismatch' THEN (SELECT string_agg(ryear, ',' ORDER BY line) FROM r WHERE r.doc_id = m.doc_id AND r.author = m.author) ELSE '' END AS years FROM m",
     "cit_uncited": f"WITH {_CITED_SQL}, {_UNCITED_SQL} SELECT doc_id, line, author AS first_author FROM u",
     "cit_misspelt": f"WITH {_CITED_SQL}, {_MISSPELT_SQL} SELECT * FROM s",
-    "cit_issues": f"""WITH {_CITED_SQL}, {_UNCITED_SQL}, {_MISSPELT_SQL}, x AS (
-SELECT doc_id, branch AS bucket, idx, NULL AS line, raw AS citation, NULL AS reference, NULL AS distance, cyear AS cited_year,
-  (SELECT string_agg(ryear, ',' ORDER BY line) FROM r WHERE r.doc_id = m.doc_id AND r.author = m.author) AS reference_years, 'warning' AS severity FROM m WHERE branch IN ('year_mismatch', 'co_author_only')
-UNION ALL SELECT doc_id, 'missing_reference', idx, NULL, raw, NULL, NULL, NULL, NULL, CASE branch WHEN 'missing' THEN 'error' ELSE 'warning' END FROM m WHERE branch IN ('missing', 'substring')
-UNION ALL SELECT doc_id, 'uncited_reference', NULL, line, NULL, left(reference, 100), NULL, NULL, NULL, 'warning' FROM u
-UNION ALL SELECT s.doc_id, 'spelling_mismatch', s.idx, s.line, m.raw, left(r.reference, 100), distance, NULL, NULL, 'warning' FROM s JOIN m ON m.doc_id = s.doc_id AND m.idx = s.idx JOIN r ON r.doc_id = s.doc_id AND r.line = s.line)
+    "cit_issues": f"""WITH {_ISSUES_SQL}
 SELECT doc_id, bucket, coalesce(CAST(idx AS VARCHAR), '') AS idx, coalesce(CAST(line AS VARCHAR), '') AS line, coalesce(citation, '') AS citation, coalesce(reference, '') AS reference, coalesce(CAST(distance AS VARCHAR), '') AS distance,
   coalesce(cited_year, '') AS cited_year, CASE WHEN bucket = 'year_mismatch' THEN reference_years ELSE '' END AS reference_years, severity FROM x""",
     "para_split": _PARA_SQL,
-    "document_findings": r"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents WHERE lang = 'en'), h AS (
-SELECT doc_id, 'MEC006' AS rule_id, len(regexp_extract_all(t, '(?i)\b(\d+(?:\.\d+)?)\s+percent\b')) AS n FROM p
-UNION ALL SELECT doc_id, 'MEC018', len(regexp_extract_all(t, '\b(chapter|figure|table|row|column|trial|item|grade|step|section|appendix|exhibit|condition|phase|stage|module|unit|version)\s+(\d+)\b')) FROM p
-UNION ALL SELECT doc_id, 'STY007', len(regexp_extract_all(t, '(?i)\b(gonna|wanna|gotta|kinda|sorta|lotta|a\s+lot\s+of|tons?\s+of|pretty\s+much|basically|super\s+(?:important|relevant|useful|helpful|significant)|very\s+unique|very\s+perfect|very\s+essential|really\s+important|really\s+significant|totally|utterly)\b')) FROM p
-UNION ALL SELECT doc_id, 'STY012', len(regexp_extract_all(t, '(?i)\bibid\.?\b')) FROM p)
-SELECT rule_id, CAST(sum(n) AS BIGINT) AS n, count(DISTINCT doc_id) AS docs FROM h WHERE n > 0 GROUP BY rule_id""",
+    "document_findings": _document_sql(),
     "chunk_estimate": r"WITH w AS (SELECT doc_id, len(list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '')) AS n FROM documents) SELECT doc_id, n AS n_words, CAST(greatest(1, ceil(n / 500)) AS BIGINT) AS chunks FROM w",
     "mock_edits": _MOCK_SQL,
-    "edit_screen": "SELECT p_partkey AS doc_id, 1::BIGINT AS n_kept, 1::BIGINT AS n_not_found, 1::BIGINT AS n_citation_lock FROM part",
+    "edit_screen": _SCREEN_SQL,
+    "review_runs": _RUNS_SQL,
     "edit_apply": _APPLY_SQL,
     "credit_balance": _BALANCE_SQL,
     "credit_decision": _DECISION_SQL,
@@ -513,10 +623,15 @@ SELECT rule_id, CAST(sum(n) AS BIGINT) AS n, count(DISTINCT doc_id) AS docs FROM
     "payments": _PAYMENT_SQL,
     "link_states": _LINK_SQL,
     "findings_places": _PLACES_SQL,
+    "annotation_rows": _ANNOTATION_SQL,
+    "rule_sets": _SETS_SQL,
+    "invite_redeem": _INVITE_SQL,
+    "download_names": _NAMES_SQL,
+    "word_files": _word_sql(),
 }
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of all paragraph rules in the manuscripts of all families, by rule."""
+    """Findings of all paragraph rules in manuscripts of the style sentences, by rule."""
     p = manuscripts(spark, sf_dir, "STY").drop("target")
     return findings.paragraph_findings(p, SETTINGS).groupBy("rule_id", "severity").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))

@@ -43,6 +43,13 @@ def issues_in_order(issues: DataFrame) -> DataFrame:
     return issues.orderBy("doc_id", "bucket", F.coalesce("page", last), F.coalesce("para_on_page", last), F.coalesce("idx", "line", last), F.coalesce("line", last), "nth")
 
 
+def issues_for_reader(issues: DataFrame) -> DataFrame:
+    """All issues in one list, by place alone; equal places by what they say."""
+    last = F.lit(2**53)
+    said = F.concat_ws(": ", "bucket", F.coalesce("citation", "reference"))
+    return issues.orderBy("doc_id", F.coalesce("page", last), F.coalesce("para_on_page", last), F.coalesce("idx", last), F.coalesce("line", last), said)
+
+
 def checked(table: DataFrame, refs: DataFrame, cfg: Config = Config()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(findings, issues, one row of counts per document) of a paragraph table; refs: doc_id, refs."""
     found = titles.labelled(findings.findings(table, cfg))
@@ -110,6 +117,47 @@ def answers(chunks: DataFrame, model: Callable[[str], str]) -> DataFrame:
     return chunks.select("doc_id", "chunk", "text").mapInPandas(run, "doc_id long, chunk int, text string, answer string")
 
 
+def answered(chunks: DataFrame, model: Callable[[str], str]) -> DataFrame:
+    """chunks (doc_id, chunk, text) with answer and error, each document's in order up to its first error.
+
+    A document's chunks are asked for one after another on one executor; documents run side by side.
+    """
+    listed = chunks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "text"))).alias("parts"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for doc, parts in zip(f["doc_id"], f["parts"], strict=True):
+                for part in parts:
+                    try:
+                        out.append((doc, part["chunk"], part["text"], model(part["text"]), None))
+                    except Exception as e:  # whatever a provider raises ends this document's review
+                        out.append((doc, part["chunk"], part["text"], None, str(e)))
+                        break
+            yield pd.DataFrame(out, columns=["doc_id", "chunk", "text", "answer", "error"])
+
+    return listed.mapInPandas(run, "doc_id long, chunk int, text string, answer string, error string")
+
+
+def review_run(requests: DataFrame, said: DataFrame, cap: int = edits.WORDS_PAID) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(responses, suggestions, answered requests to commit) of reviews.
+
+    requests: doc_id, user_id, request_id, is_trial; said: answered chunks of them, stored, so that no model is asked
+    twice. A response is ok, or error with what went wrong and how many chunks were done; each done chunk is charged.
+    """
+    done = said.filter("error IS NULL")
+    key = F.struct("doc_id", "chunk")
+    rows = edits.screened(done.select(key.alias("doc_id"), "text", "answer"))
+    rows = rows.select(F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.chunk").alias("chunk"), *[c for c in rows.columns if c != "doc_id"])
+    counts = edits.screen_counts(rows)
+    state = said.groupBy("doc_id").agg(F.count_if(F.col("error").isNull()).cast("int").alias("completed"), F.min("error").alias("error"))
+    out = requests.select("doc_id", "user_id", "request_id").join(state, "doc_id").join(counts, "doc_id", "left").fillna(0, ["n_kept", "n_not_found", "n_citation_lock"])
+    out = out.withColumn("status", F.when(F.col("error").isNull(), "ok").otherwise("error"))
+    made = done.select("doc_id", "chunk").join(requests.select("doc_id", "user_id", "request_id", "is_trial"), "doc_id")
+    made = made.select("user_id", F.concat("request_id", F.lit("_chunk"), F.col("chunk").cast("string")).alias("request_id"), "is_trial", F.concat_ws("#", "request_id", F.lpad(F.col("chunk").cast("string"), 9, "0")).alias("seq"))
+    return out, rows.filter("status = 'kept'"), made
+
+
 def reviewed(texts: DataFrame, cap: int = edits.WORDS_PAID, model: Callable[[str], str] | None = None) -> DataFrame:
     """Screened suggestions for texts (doc_id, text), chunk by chunk; without a model the offline stand-in answers."""
     parts = texts.selectExpr("doc_id", f"posexplode({edits.chunks('text', cap)}) AS (chunk, text)")

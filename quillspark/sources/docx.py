@@ -1,4 +1,4 @@
-"""Word files: a reader of raw paragraph rows, and a writer of annotated copies.
+"""Word files: a reader of raw paragraph rows, a writer of files from such rows, and one of annotated copies.
 
 The reader unpacks each file in one Arrow batch function with the standard library alone; everything that
 classifies paragraphs is done on its rows by operators.structure.classified.
@@ -9,14 +9,16 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from xml.etree import ElementTree as ET
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-ROWS = "doc_id string, idx int, style string, text string, in_table boolean, page_break boolean, numbered boolean, left_indent int, indent int, centered boolean, all_bold boolean, all_italic boolean, italic_ok boolean, italic_excerpt string"
+ROWS = "doc_id string, idx int, style string, text string, in_table boolean, page_break boolean, numbered boolean, left_indent int, indent int, centered boolean, all_bold boolean, all_italic boolean, italic_ok boolean, italic_excerpt string, error string"
 PERIODICAL = re.compile(r"\(\d{4}[^)]*\)\.\s+.+?\.\s+(?P<periodical>[^.]+?,\s*\d+)")
 ITALIC_SHARE = 0.8
 
@@ -98,18 +100,99 @@ def read_paragraphs(data: bytes) -> list[tuple]:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Raw paragraph rows of all .docx files under a path; doc_id is the file's path."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path)
+    return read_files(spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path))
+
+
+def read_files(files: DataFrame) -> DataFrame:
+    """Raw paragraph rows of files (path, content).
+
+    A file that can't be read gives one row: idx -1, an empty text, and what is wrong as its error (null elsewhere).
+    """
     names = [c.split(" ")[0] for c in ROWS.split(", ")]
 
     def run(frames):
         for f in frames:
             for name, data in zip(f["path"], f["content"], strict=True):
-                rows = pd.DataFrame([(name, *r) for r in read_paragraphs(bytes(data))], columns=names)
+                try:
+                    found = [(name, *r, None) for r in read_paragraphs(bytes(data))]
+                except (zipfile.BadZipFile, KeyError, ET.ParseError, TypeError, AttributeError, zlib.error, EOFError, NotImplementedError, RuntimeError) as e:
+                    blank = {"doc_id": name, "idx": -1, "style": "Normal", "text": "", "italic_excerpt": "", "error": f"{type(e).__name__}: {e}"[:200]}
+                    found = [tuple(blank.get(c, None if c in ("left_indent", "indent", "italic_ok") else False) for c in names)]
+                rows = pd.DataFrame(found, columns=names)
                 yield rows.astype({"left_indent": "Int32", "indent": "Int32", "italic_ok": "boolean"})
 
     return files.select("path", "content").mapInPandas(run, ROWS)
 
 
+def broken(raw: DataFrame) -> DataFrame:
+    """doc_id, error: the files that couldn't be read."""
+    return raw.filter("error IS NOT NULL").select("doc_id", "error")
+
+
+def suffix_allowed(name: str) -> str:
+    """SQL: whether an upload's name is one of a Word file."""
+    return f"lower({name}) LIKE '%.docx'"
+
+
+def download_name(name: str) -> str:
+    """SQL: the name under which a reviewed copy of a file is offered."""
+    last = f"regexp_extract({name}, '[^/]*$', 0)"
+    stem = f"IF({last} RLIKE '^.+[.][^.]+$', regexp_replace({last}, '[.][^.]*$', ''), {last})"
+    safe = f"regexp_replace(regexp_replace(IF({stem} = '', 'document', {stem}), '[^A-Za-z0-9_.-]+', '_'), '^[._]+|[._]+$', '')"
+    return f"concat(IF({safe} = '', 'document', {safe}), '_reviewed.docx')"
+
+
+def styles_of(raw: DataFrame) -> DataFrame:
+    """doc_id, idx, style, start: the style of every paragraph and its first 80 characters, to see why a row is what it is."""
+    return raw.filter("idx >= 0").selectExpr("doc_id", "idx", "style", "substring(text, 1, 80) AS start")
+
+
+def _element(row: dict) -> str:
+    """A paragraph of a Word file's body."""
+    toggles = "".join(f"<w:{k}/>" for k, on in (("b", row["all_bold"]), ("i", row["all_italic"])) if on)
+    marks = f'<w:pStyle w:val="{escape(row["style"].replace(" ", ""))}"/>'
+    marks += '<w:numPr><w:numId w:val="1"/></w:numPr>' if row["numbered"] else ""
+    sizes = [f'w:{k}="{int(n)}"' for k, n in (("left", row["left_indent"]), ("firstLine", row.get("indent"))) if n is not None and n == n]
+    marks += f"<w:ind {' '.join(sizes)}/>" if sizes else ""
+    marks += '<w:jc w:val="center"/>' if row["centered"] else ""
+    before, slanted, after = row["text"].partition(row.get("italic") or row["text"])
+    pieces = ((before, toggles), (slanted, "<w:i/>" if row.get("italic") else toggles), (after, toggles))
+    text = "".join(f'<w:r><w:rPr>{on}</w:rPr><w:t xml:space="preserve">{escape(t)}</w:t></w:r>' for t, on in pieces if t)
+    p = f'<w:p><w:pPr>{marks}</w:pPr>{text}{"<w:r><w:br w:type=\"page\"/></w:r>" if row["page_break"] else ""}</w:p>'
+    return f"<w:tbl><w:tr><w:tc>{p}</w:tc></w:tr></w:tbl>" if row["in_table"] else p
+
+
+def write_paragraphs(rows: list[dict]) -> bytes:
+    """A Word file of paragraphs: style, text, all_bold, all_italic, centered, page_break, numbered, left_indent, in_table.
+
+    They may have an indent (of the first line) and a part of the text that is in italics.
+    """
+    space = f'xmlns:w="{W[1:-1]}"'
+    sheet = "".join(f'<w:style w:type="paragraph" w:styleId="{escape(n.replace(" ", ""))}"><w:name w:val="{escape(n)}"/></w:style>' for n in sorted({r["style"] for r in rows}))
+    parts = {
+        "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="xml" ContentType="application/xml"/></Types>',
+        "word/styles.xml": f"<w:styles {space}>{sheet}</w:styles>",
+        "word/document.xml": f"<w:document {space}><w:body>{''.join(map(_element, rows))}</w:body></w:document>",
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """path, content: a Word file of each doc_id's rows, in the order of idx; path is the doc_id as text."""
+    columns = ("idx", "style", "text", "all_bold", "all_italic", "centered", "page_break", "numbered", "left_indent", "in_table")
+    listed = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("rows"))
+
+    def write(frames):
+        for f in frames:
+            yield pd.DataFrame({"path": f["path"], "content": [write_paragraphs([dict(r) if isinstance(r, dict) else r.asDict() for r in rs]) for rs in f["rows"]]})
+
+    return listed.select(F.col("doc_id").cast("string").alias("path"), "rows").mapInPandas(write, "path string, content binary")
+
+
 COLOURS = {"ERROR": "red", "WARNING": "yellow", "SUGGESTION": "cyan", "INFO": "green"}
 
 

@@ -229,3 +229,95 @@ def test_annotated_files(spark):
 def test_reference_text(spark):
     p = rows(spark, [(None, False, True, "B"), (None, False, False, "x"), (None, False, True, "A")])
     assert paragraphs.reference_text(p).first().refs == "B\nA"
+
+
+@pytest.mark.parametrize(
+    "answer, want",
+    [
+        ('["x", {"original": "a", "revised": "b"}, 5, null]', [None, ("a", "b", None), None, None]),
+        ('```json\n[{"original": "a", "revised": "b", "reason": "c"}]\n```', [("a", "b", "c")]),
+        ('so: [{"original": 5, "revised": "b"}] it is', [(None, "b", None)]),
+        ("nothing", []),
+        ("[broken", []),
+        ("", []),
+        ('{"original": "a"}', []),
+    ],
+)
+def test_items_that_are_no_objects_cost_nothing_else(spark, answer, want):
+    df = spark.createDataFrame([(answer,)], "answer string").selectExpr(f"{edits.payload('answer')} AS x")
+    assert [tuple(x) if x else None for x in df.first().x] == want
+
+
+def test_control_characters_stay_where_they_are(spark):
+    from quillspark.operators import findings
+    from quillspark.operators.rules import RULES, Config
+
+    text = "\x01\x02\x03a The end result came."
+    df = spark.createDataFrame([(1, 0, text)], "doc_id long, idx int, r string").selectExpr("*", "r AS m", "cast(null AS int) AS level", "false AS is_ref")
+    (row,) = findings.paragraph_findings(df, Config(), tuple(r for r in RULES if r.rule_id == "STY002")).collect()
+    assert (row.s, row.e, row.replacement) == (text.index("end"), text.index("end") + 10, "result")
+    assert parse(spark, "\x01\x02It grew (Smith, 2020).")[0][-1] == 10
+
+
+def test_running_sums_of_long_arrays(spark):
+    from quillspark.functions.regex import running
+
+    rng = random.Random(4)
+    for n in (0, 1, 255, 256, 257, 3000):
+        xs = [rng.randint(0, 9) for _ in range(n)]
+        got = spark.createDataFrame([(xs,)], "x array<int>").selectExpr(f"{running('x')} AS s").first().s
+        assert got == [sum(xs[:k]) for k in range(n)]
+
+
+def test_issues_meet_groups_co_authors_lists_and_lower_case(spark):
+    body = "It grew (Jones, 2019; Institute, 2020) and (Second, 2018), as pwc (2024) and Ministry (2021) and Ann (2020) say."
+    refs = "First, A., & Second, B. (2018). T.\nInstitute of Rivers. (2020). T.\nPwC. (2024). T.\nMinistry of Towns. (2021). T.\nAnna, B. (2020). T.\nSolo, B. (2000). T."
+    texts = spark.createDataFrame([(1, 0, body)], "doc_id long, idx int, text string")
+    c, r = citations.parsed(texts), citations.entries(spark.createDataFrame([(1, refs), (2, "Alone, A. (1999). T.")], "doc_id long, refs string"))
+    assert {(x.author, x.branch) for x in citations.matched(c, r).collect()} == {("jones", "missing"), ("institute", "co_author_only"), ("second", "co_author_only"), ("pwc", "exact"), ("ministry", "co_author_only"), ("ann", "substring")}
+    assert sorted((x.doc_id, x.first_author) for x in citations.uncited(c, r).collect()) == [(1, "anna"), (1, "first"), (1, "institute of rivers"), (1, "ministry of towns"), (1, "solo"), (2, "alone")]
+    assert [(x.author, x.first_author, x.distance) for x in citations.misspelt(c, r).collect()] == [("ann", "anna", 1)]
+
+
+def test_invites_go_once(spark):
+    at = dt.datetime(2024, 1, 1)
+    invites = spark.createDataFrame([(1, "a@b.org", 5, "active", None), (2, "c@b.org", 5, "active", at), (3, "d@b.org", 5, "revoked", None)], "id int, email string, duration_days int, status string, invite_expires_at timestamp")
+    asked = spark.createDataFrame([(7, " A@B.org", at + dt.timedelta(1)), (8, "a@b.org", at), (9, "c@b.org", at), (9, "d@b.org", at)], "user_id int, email string, at timestamp")
+    after, passes = ledger.redeemed(invites, asked)
+    assert {r.id: (r.status, r.redeemed_by) for r in after.collect()} == {1: ("redeemed", 8), 2: ("active", None), 3: ("revoked", None)}
+    assert [(r.user_id, r.source, r.expires_at) for r in passes.collect()] == [(8, "invite:1", at + dt.timedelta(5))]
+    again, none = ledger.redeemed(after, asked)
+    assert none.count() == 0 and {r.id: r.status for r in again.collect()}[1] == "redeemed"
+
+
+def test_links_keep_a_hash_alone(spark, tmp_path):
+    token, row = ledger.new_link(spark, dt.datetime(2024, 1, 1), "tester")
+    held = row.first()
+    assert len(token) == 43 and token not in str(held) and held.expires_at == dt.datetime(2024, 1, 31)
+    ledger.appended(row, str(tmp_path / "links"))
+    ledger.appended(ledger.new_link(spark, dt.datetime(2024, 1, 2))[1], str(tmp_path / "links"))
+    back = spark.read.parquet(str(tmp_path / "links"))
+    assert back.count() == 2 and ledger.active_link(back, F.lit(token), "2024-01-05").first().label == "tester"
+    assert (tmp_path / "links" / "status=active").is_dir()
+    with pytest.raises(ValueError):
+        ledger.new_link(spark, dt.datetime(2024, 1, 1), "a@b.org")
+    assert ledger.labels_allowed(spark.createDataFrame([("a@b",), (None,), ("x",)], "label string")).count() == 2
+
+
+def test_test_mode_and_added_credits(spark):
+    r = spark.createDataFrame([(1, "r", 9999, False)], "user_id int, request_id string, words int, is_trial boolean")
+    e = ledger.added(spark.createDataFrame([(1, 1, 3)], "user_id int, seq int, amount int"))
+    seen, trials = spark.createDataFrame([], "request_id string"), spark.createDataFrame([], "user_id int")
+    assert tuple(ledger.decided(r, e, seen, trials, test_mode=True).first())[2:] == (True, "test_mode", 999)
+    assert tuple(ledger.decided(r, e, seen, trials).first())[2:] == (False, "word_cap_exceeded", 3)
+
+
+def test_styles_of_a_file(spark):
+    row = {"style": "Quote", "text": "x" * 100, "all_bold": False, "all_italic": False, "centered": False, "page_break": False, "numbered": False, "left_indent": None, "in_table": False}
+    files = spark.createDataFrame([("f", docx.write_paragraphs([row, row | {"in_table": True}, row | {"text": "<&>"}]))], "path string, content binary")
+    assert [tuple(r) for r in docx.styles_of(docx.read_files(files)).orderBy("idx").collect()] == [("f", 0, "Quote", "x" * 80), ("f", 1, "Quote", "<&>")]
+
+
+@pytest.mark.parametrize("name, want", [("a b.docx", "a_b_reviewed.docx"), ("é.docx", "document_reviewed.docx"), ("x/y.tar.docx", "y.tar_reviewed.docx"), ("..", "document_reviewed.docx"), ("plain", "plain_reviewed.docx")])
+def test_download_names(spark, name, want):
+    assert spark.createDataFrame([(name,)], "n string").selectExpr(docx.download_name("n")).first()[0] == want
