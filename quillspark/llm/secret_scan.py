@@ -5,11 +5,13 @@ trigrams. The documents' postings for the queried trigrams are kept in blocks of
 list is never longer than that however common its trigram; lists are intersected and united block by block,
 and only the candidates are verified with the regex. A rule whose regex has no mandatory trigram scans every
 text while it is read. Candidates that a count proves few are broadcast to the scan; more of them meet the
-texts in an ordinary shuffled join.
+texts in an ordinary shuffled join. The index of the query holds the trigrams that its rules ask for; without a list
+of trigrams it holds them all, may be stored, and answers the queries of rules that come later.
 
 Defined results: null text counts as empty; a document with a null doc_id can't be in the index, so every
-rule scans it; repeated rows each get their own result; an empty table gives an empty result; columns other
-than doc_id and text are ignored by secret_spans and kept by redacted.
+rule scans it; a very long text is scanned whole, in time proportional to its length; spans that begin at one place
+stand in the order of the rules; repeated rows each get their own result; an empty table gives an empty result; columns
+other than doc_id and text are ignored by secret_spans and kept by redacted, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, small, stored, table
+from ..functions.regex import spans
+from .common import fresh, keyed_texts, small, stored, table
 
 #: Document ids in a block of postings.
 BLOCK = 1024
@@ -146,11 +149,15 @@ def trigrams_of(query) -> set[str]:
 # --- index, candidates ---
 
 
-def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """block, trigram, doc_ids (ascending, at most BLOCK of them): which documents hold a trigram."""
-    low = F.lower(F.col("text"))
-    held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in trigrams]))
-    pairs = docs.filter("doc_id IS NOT NULL").select("doc_id", F.explode(held).alias("trigram"))
+def postings(docs: DataFrame, trigrams: list[str] | None = None) -> DataFrame:
+    """block, trigram, doc_ids (ascending, at most BLOCK of them): which documents hold a trigram; all trigrams without a list."""
+    low = docs.filter("doc_id IS NOT NULL").select("doc_id", F.lower("text").alias("low"))  # once, not once a trigram
+    if trigrams is None:
+        held = F.array_distinct(F.regexp_extract_all("low", F.lit(r"(?s)(?=(...))"), F.lit(1)))
+    else:
+        held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in trigrams]))
+    # The array is made in a step of its own, so that its tests run as generated code.
+    pairs = low.select("doc_id", held.alias("held")).select("doc_id", F.explode("held").alias("trigram"))
     block = F.floor(F.col("doc_id") / BLOCK).alias("block")
     return pairs.groupBy(block, "trigram").agg(F.array_sort(F.collect_set("doc_id")).alias("doc_ids"))
 
@@ -176,44 +183,33 @@ def candidates(index: DataFrame, queries: dict[str, object]) -> DataFrame:
 # --- verification ---
 
 
-def spans_of(text: Column, rule: Rule, number: int) -> Column:
-    """array<struct<start, number, end>> of a rule's counted matches, in code points, end exclusive."""
-    p = F.lit(rule.pattern)
-    whole, gaps = F.regexp_extract_all(text, p, F.lit(0)), F.split(text, rule.pattern, -1)
-    tested = F.regexp_extract_all(text, p, F.lit(rule.group))
-    sized = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), F.transform(whole, F.length).alias("len"), F.transform(tested, F.length).alias("got"))
-    none = F.array().cast("array<struct<start:int,number:int,end:int>>")
-    zero = F.struct(F.lit(0).alias("at"), none.alias("found"))
+SPAN = "array<struct<start:int,number:int,end:int>>"
 
-    def step(acc, x):
-        start = acc["at"] + x["gap"]
-        end = start + F.coalesce(x["len"], F.lit(0))
-        hit = F.array(F.struct(start.alias("start"), F.lit(number).alias("number"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(x["got"] >= rule.least, F.concat(acc["found"], hit)).otherwise(acc["found"]).alias("found"))
 
-    return F.when(text.rlike(rule.pattern), F.aggregate(sized, zero, step, lambda acc: acc["found"])).otherwise(none)
+def spans_of(text: str, rule: Rule, number: int) -> str:
+    """SQL: array of (start, number, end) of a rule's counted matches, in code points, end exclusive."""
+    found = spans(text, rule.pattern, "", f"${rule.group}" if rule.group else "")
+    return f"transform(filter({found}, f -> length({'f.g' if rule.group else 'f.m'}) >= {rule.least}), f -> named_struct('start', f.s, 'number', {number}, 'end', f.e))"
 
 
-def with_spans(docs: DataFrame, rules=RULES) -> DataFrame:
-    """docs with __q_spans: array<struct<start, number, end>> by start, then rule; docs needs doc_id and text."""
+def with_spans(docs: DataFrame, name: str, rules=RULES) -> DataFrame:
+    """docs with a column `name`: array of (start, number, end) by start, then rule; docs needs doc_id and text."""
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = {k: q for k, q in queries.items() if q is not None}
+    key, kinds = fresh("id"), fresh("kinds")
     if indexed:
         index = postings(keyed_texts(docs), sorted(set().union(*map(trigrams_of, indexed.values()))))
         found = stored(candidates(index, indexed), "secret-candidates")
-        found = small(found.select(F.col("doc_id").alias("__q_id"), F.col("kinds").alias("__q_kinds")))
-        docs = docs.join(found, docs["doc_id"] == F.col("__q_id"), "left")
+        docs = docs.join(small(found.select(F.col("doc_id").alias(key), F.col("kinds").alias(kinds))), F.col("doc_id") == F.col(key), "left")
     else:
-        docs = docs.withColumn("__q_id", F.lit(None)).withColumn("__q_kinds", F.array().cast("array<string>"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    none = F.array().cast("array<struct<start:int,number:int,end:int>>")
+        docs = docs.withColumns({key: F.lit(None), kinds: F.array().cast("array<string>")})
     parts = []
     for n, rule in enumerate(rules):
-        spans = spans_of(text, rule, n)
+        part = spans_of("coalesce(text, '')", rule, n)
         if rule.kind in indexed:
-            spans = F.when(F.col("doc_id").isNull() | F.coalesce(F.array_contains("__q_kinds", rule.kind), F.lit(False)), spans).otherwise(none)
-        parts.append(spans)
-    return docs.withColumn("__q_spans", F.array_sort(F.concat(*parts))).drop("__q_id", "__q_kinds")
+            part = f"IF(doc_id IS NULL OR coalesce(array_contains({kinds}, '{rule.kind}'), false), {part}, cast(array() AS {SPAN}))"
+        parts.append(part)
+    return docs.withColumn(name, F.expr(f"array_sort(concat({', '.join(parts)}))")).drop(key, kinds)
 
 
 def _named(spans: Column, rules) -> Column:
@@ -223,30 +219,31 @@ def _named(spans: Column, rules) -> Column:
 
 def secret_spans(docs: DataFrame, rules=RULES) -> DataFrame:
     """doc_id, one count per base rule, base_sha256, spans, one row per document."""
-    rows = with_spans(keyed_texts(docs), rules)
+    rows = with_spans(keyed_texts(docs), "__spans", rules)
     base = [n for n, r in enumerate(rules) if r.base]
-    of = lambda n: F.size(F.filter("__q_spans", lambda s: s["number"] == n)).cast("long")
+    of = lambda n: F.size(F.filter("__spans", lambda s: s["number"] == n)).cast("long")
     counts = [of(n).alias(f"n_{rules[n].kind}") for n in base]
-    only_base = F.filter("__q_spans", lambda s: s["number"].isin(base))
-    return rows.select("doc_id", *counts, F.sha2(_named(only_base, rules), 256).alias("base_sha256"), _named(F.col("__q_spans"), rules).alias("spans"))
+    only_base = F.filter("__spans", lambda s: s["number"].isin(base))
+    return rows.select("doc_id", *counts, F.sha2(_named(only_base, rules), 256).alias("base_sha256"), _named(F.col("__spans"), rules).alias("spans"))
 
 
 def redacted(docs: DataFrame, rules=RULES) -> DataFrame:
     """docs with MASK in place of every secret (overlapping spans: one mask) and n_chars, if there, set anew."""
     columns, kinds = docs.columns, dict(docs.dtypes)
-    rows = with_spans(docs, rules)
+    found, masked = fresh("spans"), fresh("text")
+    rows = with_spans(docs, found, rules)
     text, start = F.col("text"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, s):
         fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(MASK))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate("__q_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    hit = F.size("__q_spans") > 0
-    rows = rows.withColumn("__q_text", F.when(hit, clean).otherwise(text))
-    new = {"text": F.col("__q_text")}
+    clean = F.aggregate(found, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    hit = F.size(found) > 0
+    rows = rows.withColumn(masked, F.when(hit, clean).otherwise(text))
+    new = {"text": F.col(masked)}
     if "n_chars" in columns:
-        new["n_chars"] = F.when(hit, F.length("__q_text").cast(kinds["n_chars"])).otherwise(F.col("n_chars"))
+        new["n_chars"] = F.when(hit, F.length(masked).cast(kinds["n_chars"])).otherwise(F.col("n_chars"))
     return rows.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in columns])
 
 
