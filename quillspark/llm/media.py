@@ -320,4 +320,4 @@ def clip_rows(read: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return read_back(media_files(table(spark, sf_dir, "documents"))).drop("clips")
+    return read_back(media_files(table(spark, sf_dir, "documents")))
