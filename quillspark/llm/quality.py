@@ -1,13 +1,15 @@
 """Document quality by co-training a text-content view and a page-metadata view.
 
-Boosted trees of each view start from at most SAMPLE labelled rows. In each of ROUNDS rounds either view
-labels the rows of an unlabelled pool (at most POOL rows) of which it is most sure, in the proportion of the
-labels, and the other view learns from them. Each view is then calibrated on labelled rows that no tree has
-seen, a logistic fit on them weighs the two, and every whole document is scored while it is read.
+Boosted trees of each view start from at most SAMPLE labelled rows. In each of ROUNDS rounds both views judge every
+unlabelled row on the executors, either view labels those of which it is most sure, in the proportion of the labels,
+and the other view learns from them: at most SHARE of the labelled rows, the surest of all unlabelled ones. Each view
+is then calibrated on labelled rows that no tree has seen, a logistic fit on them weighs the two, and every whole
+document is scored. Features are computed once, while texts are read, and stored as numbers.
 
 Defined results: null text counts as empty, null metadata is a value of its own; without labels of both kinds
-every document gets the labelled share of label 1 (1 without labels, so that nothing is rejected); repeated
-rows each get their own result; other columns are ignored by quality_scores and kept by accepted.
+every document gets the labelled share of label 1 (1 without labels, so that nothing is rejected); a very long text is
+read whole; of rows of which a view is equally sure those of least hash are taken; repeated rows each get their own,
+equal result; an empty table gives an empty result; other columns are ignored by quality_scores and kept by accepted.
 """
 
 from __future__ import annotations
@@ -17,21 +19,24 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .boosting import Boosted, Isotonic, logit, sigmoid
-from .common import small_batches, stored, table
+from .common import small, small_batches, stored, table
 from .toxicity import sample
 
-#: Labelled rows and rows of the unlabelled pool, at most; they are those of least hash.
-SAMPLE, POOL = 12_000, 12_000
+#: Labelled rows, at most; they are those of least hash.
+SAMPLE = 12_000
 ROUNDS = 3
 #: Pseudo-labels in a round: at most this share of the labelled rows, and only beyond this certainty.
 SHARE, CERTAIN = 0.1, 0.95
 #: Documents with a lower score are rejected.
 THRESHOLD = 0.5
 HOLD = 5
+#: Blocks in which the surest rows are looked for before they meet.
+BLOCKS = 64
 SLOTS = 24
 
 _MARKS = b"#$%&*|!?.,;:-_/\\<>[]{}()=+~^@\"'"
@@ -107,27 +112,27 @@ def _logistic(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def co_train(xa, xb, y, ua, ub, hold) -> Model:
-    """hold: rows kept for calibration; ua, ub: the pool's features."""
+def co_train(xa, xb, y, hold, surest) -> Model:
+    """hold: rows kept for calibration; surest(views, asked) gives the rows that the views label.
+
+    surest is asked with both fitted views and, for each (teacher, label), how many rows it may label; it answers with
+    the features (a, b) of the rows for each, and never gives a view a row twice.
+    """
     model = Model(float(y.mean()) if len(y) else 1.0)
     if len(np.unique(y[~hold])) < 2 or len(np.unique(y[hold])) < 2:
         return model
-    views = [(xa[~hold], y[~hold], ua), (xb[~hold], y[~hold], ub)]
-    open_rows = [np.ones(len(ua), bool), np.ones(len(ub), bool)]
-    share = float(y.mean())
+    views = [(xa[~hold], y[~hold]), (xb[~hold], y[~hold])]
+    share, quota = float(y.mean()), int(SHARE * (~hold).sum())
+    asked = {(k, label): math.ceil(quota * (share if label else 1 - share)) for k in (0, 1) for label in (1, 0)}
     for r in range(ROUNDS + 1):
-        fitted = [Boosted().fit(x, t) for x, t, _ in views]
+        fitted = [Boosted().fit(x, t) for x, t in views]
         if r == ROUNDS:
             break
-        quota = int(SHARE * (~hold).sum())
-        for k, other in ((0, 1), (1, 0)):  # view k teaches the other
-            p = fitted[k].predict(views[k][2])
-            for label, sure, most in ((1.0, p, math.ceil(quota * share)), (0.0, 1 - p, math.ceil(quota * (1 - share)))):
-                rows = np.flatnonzero(open_rows[other] & (sure >= CERTAIN))
-                rows = rows[np.argsort(-sure[rows], kind="stable")[:most]]
-                open_rows[other][rows] = False
-                x, t, u = views[other]
-                views[other] = (np.vstack([x, u[rows]]), np.append(t, np.full(len(rows), label)), u)
+        for (teacher, label), rows in surest(fitted, asked).items():
+            other = 1 - teacher
+            x, t = views[other]
+            if len(rows[other]):
+                views[other] = (np.vstack([x, rows[other]]), np.append(t, np.full(len(rows[other]), float(label))))
     model.views = fitted
     raw = [v.predict(x[hold]) for v, x in zip(fitted, (xa, xb), strict=True)]
     model.steps = [Isotonic().fit(p, y[hold]) for p in raw]
@@ -135,58 +140,107 @@ def co_train(xa, xb, y, ua, ub, hold) -> Model:
     return model
 
 
-def _known(docs: DataFrame) -> DataFrame:
+def features(docs: DataFrame) -> DataFrame:
+    """doc_id, a, b: the features of both views, one row per row of docs; stored."""
     have = [c for c in ("lang", "source", "n_chars") if c in docs.columns]
-    return small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *have)
-
-
-def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, pool: int = POOL) -> Model:
-    docs = _known(docs)
-    labelled = sample(docs, labels, "quality", bound)
-    # The pool: unlabelled rows of least hash among all rows.
-    known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").select(F.col("doc_id").alias("__q_id"))
-    ids = docs.select("doc_id").filter("doc_id IS NOT NULL").join(known, F.col("doc_id") == F.col("__q_id"), "left_anti").distinct()
-    ids = F.broadcast(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool).withColumnRenamed("doc_id", "__q_id"))  # bounded by `pool` rows
-    unlabelled = stored(docs.join(ids, F.col("doc_id") == F.col("__q_id")).drop("__q_id").withColumn("__q_y", F.lit(-1.0)), "pool")
-
-    def run(frames):
-        for f in frames:
-            a, b = _rows(f)
-            yield pd.DataFrame({"doc_id": f["doc_id"], "y": f["__q_y"], "a": list(a), "b": list(b)})
-
-    # At most bound + pool rows of features reach the driver, in an order of their own.
-    got = labelled.unionByName(unlabelled).mapInPandas(run, "doc_id bigint, y double, a array<double>, b array<double>").collect()
-    got = sorted(got, key=lambda r: (r["doc_id"], r["y"], r["a"]))
-    y = np.array([r["y"] for r in got])
+    known = small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *have)
+
+    def run(batches):
+        for batch in batches:
+            a, b = _rows(batch.select(["text", *have]).to_pandas())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(a), _lists(b)], names=["doc_id", "a", "b"])
+
+    return stored(known.mapInArrow(run, "doc_id bigint, a array<float>, b array<float>"), "quality-features")
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    width = x.shape[1] if len(x) else 0
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * width, pa.int32()), pa.array(x.astype(np.float32).ravel()))
+
+
+def _table(column: pa.Array) -> np.ndarray:
+    """The rows of a column of lists of equal length."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(float) if len(column) else np.zeros((0, 1))
+
+
+def _surest(pool: DataFrame):
+    """A surest() for co_train over all rows of pool: a, b, key (equal rows have one)."""
+    taken: dict[int, set[int]] = {0: set(), 1: set()}  # keys that each view has been given: at most ROUNDS quotas of two labels
+
+    def ask(views, asked):
+        closed, most = {k: frozenset(v) for k, v in taken.items()}, max(asked.values())
+
+        def run(batches):
+            for b in batches:
+                # Rows that repeat one another count once.
+                keys, once = np.unique(b.column("key").to_numpy(), return_index=True)
+                x = _table(b.column("a"))[once], _table(b.column("b"))[once]
+                found = []
+                for teacher, view in enumerate(views):
+                    p = view.predict(x[teacher])
+                    for label, sure in ((1, p), (0, 1 - p)):
+                        at = np.flatnonzero(sure >= CERTAIN)
+                        at = at[[k not in closed[1 - teacher] for k in keys[at].tolist()]] if len(at) else at
+                        at = at[np.argsort(-sure[at], kind="stable")[:most]]
+                        found.append((keys[at], np.full(len(at), teacher, np.int32), np.full(len(at), label, np.int32), sure[at]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["key", "teacher", "label", "sure"])
+
+        judged = pool.select("key", "a", "b").mapInArrow(run, "key bigint, teacher int, label int, sure double").groupBy("teacher", "label", "key").agg(F.max("sure").alias("sure"))
+        # The surest of each block, then of all: no more than BLOCKS times the quota meet in one task.
+        order = [F.desc("sure"), F.xxhash64("key"), "key"]
+        block = Window.partitionBy("teacher", "label", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(BLOCKS))).orderBy(*order)
+        best = judged.withColumn("k", F.row_number().over(block)).filter(F.col("k") <= most)
+        best = best.withColumn("k", F.row_number().over(Window.partitionBy("teacher", "label").orderBy(*order)))
+        wanted = F.expr("CASE " + " ".join(f"WHEN teacher = {t} AND label = {v} THEN {n}" for (t, v), n in asked.items()) + " END")
+        chosen = [(r["key"], r["teacher"], r["label"]) for r in best.filter(F.col("k") <= wanted).collect()]  # four quotas at most
+        ids = pool.sparkSession.createDataFrame([(k,) for k in {k for k, _, _ in chosen}], "key bigint")
+        rows = {r["key"]: (r["a"], r["b"]) for r in pool.join(F.broadcast(ids), "key").groupBy("key").agg(F.first("a").alias("a"), F.first("b").alias("b")).collect()} if chosen else {}
+        out = {}
+        for t, v in asked:
+            mine = sorted(k for k, teacher, label in chosen if (teacher, label) == (t, v))
+            taken[1 - t].update(mine)
+            out[(t, v)] = tuple(_matrix([rows[k][side] for k in mine]) for side in (0, 1))
+        return out
+
+    return ask
+
+
+def train(rows: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
+    """rows as features() gives them."""
+    labelled = sample(rows, labels, "quality", bound)
+    known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").select(F.col("doc_id").alias("known_id")).distinct()
+    known = small(stored(known, "labelled-ids"))
+    pool = rows.join(known, F.col("doc_id") == F.col("known_id"), "left_anti").withColumn("key", F.xxhash64("doc_id", "a", "b"))
+    # At most `bound` rows of features reach the driver, in an order of their own.
+    got = sorted(labelled.select("doc_id", "__q_y", "a", "b").collect(), key=lambda r: (r["doc_id"], r["__q_y"], r["a"]))
+    y = np.array([r["__q_y"] for r in got])
     a, b = (_matrix([r[c] for r in got]) for c in "ab")
-    has = y >= 0
-    doc = np.array([r["doc_id"] for r in got], np.int64)[has]
-    hold = np.array([zlib.crc32(str(d).encode()) % HOLD == 0 for d in doc.tolist()], bool)
-    return co_train(a[has], b[has], y[has], a[~has], b[~has], hold)
+    hold = np.array([zlib.crc32(str(r["doc_id"]).encode()) % HOLD == 0 for r in got], bool)
+    return co_train(a, b, y, hold, _surest(stored(pool, "pool")))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score_text, score_meta, score, accepted: one row per document."""
-    model = train(docs, labels)
+    rows = features(docs)
+    model = train(rows, labels)
 
-    def run(frames):
-        for f in frames:
-            for k in range(0, len(f), 2000):
-                part = f.iloc[k : k + 2000]
-                t, m, s = model.score(*_rows(part))
-                yield pd.DataFrame({"doc_id": part["doc_id"], "score_text": t, "score_meta": m, "score": s})
+    def run(batches):
+        for b in batches:
+            scores = model.score(_table(b.column("a")), _table(b.column("b")))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, pa.float64()) for x in scores)], names=["doc_id", "score_text", "score_meta", "score"])
 
-    scored = _known(docs).mapInPandas(run, "doc_id bigint, score_text double, score_meta double, score double")
+    scored = rows.mapInArrow(run, "doc_id bigint, score_text double, score_meta double, score double")
     return scored.withColumn("accepted", F.col("score") >= threshold)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns, that are not rejected."""
-    model = train(docs, labels)
+    model = train(features(docs), labels)
 
     @F.pandas_udf("double")
     def score(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.Series:
-        return pd.Series(model.score(*_rows(pd.DataFrame({"text": text, "lang": lang, "source": source, "n_chars": n_chars})))[2])
+        a, b = _rows(pd.DataFrame({"text": text, "lang": lang, "source": source, "n_chars": n_chars}))
+        return pd.Series(model.score(a.astype(np.float32), b.astype(np.float32))[2])
 
     of = lambda c: F.col(c) if c in docs.columns else F.lit(None).cast("string")
     return docs.filter(score(F.coalesce("text", F.lit("")), of("lang"), of("source"), of("n_chars")) >= threshold)

@@ -76,10 +76,42 @@ def test_co_training_teaches_the_other_view():
     y = rng.integers(0, 2, 3000).astype(float)
     a, b = y[:, None] + rng.normal(0, 0.3, (3000, 2)), y[:, None] + rng.normal(0, 0.3, (3000, 2))
     hold = np.arange(60) % 3 == 0
-    m = quality.co_train(a[:60], b[:60], y[:60], a[60:2000], b[60:2000], hold)
+    free = {0: np.ones(1940, bool), 1: np.ones(1940, bool)}
+
+    def surest(views, asked):
+        out = {}
+        for (teacher, label), n in asked.items():
+            p = views[teacher].predict((a, b)[teacher][60:2000])
+            sure = np.where(free[1 - teacher], p if label else 1 - p, 0)
+            rows = [k for k in np.argsort(-sure)[:n] if sure[k] >= quality.CERTAIN]
+            free[1 - teacher][rows] = False
+            out[(teacher, label)] = (a[60:2000][rows], b[60:2000][rows])
+        return out
+
+    m = quality.co_train(a[:60], b[:60], y[:60], hold, surest)
     assert ((m.score(a[2000:], b[2000:])[2] > 0.5) == (y[2000:] > 0.5)).mean() > 0.93
 
 
+def test_the_surest_of_all_rows_are_labelled(spark):
+    class View:
+        def predict(self, x):
+            return x[:, 0]
+
+    rng = np.random.default_rng(5)
+    values = rng.permutation(4000) / 4000
+    rows = [(float(v), float(1 - v), n) for n, v in enumerate(values)] + [(0.9999, 0.0001, 10_000)] * 50  # a hot key
+    pool = spark.createDataFrame(rows, "x double, z double, key long").selectExpr("array(cast(x AS float)) AS a", "array(cast(z AS float)) AS b", "key")
+    ask = quality._surest(pool)
+    asked = {(0, 1): 20, (0, 0): 10, (1, 1): 5, (1, 0): 7}
+    first, second = ask([View(), View()], asked), ask([View(), View()], asked)
+    for (teacher, label), n in asked.items():
+        column = np.array([r[teacher] for r in rows[:4001]], np.float32)
+        want = np.sort(column if label else 1 - column)[::-1]
+        for got, part in ((first, want[:n]), (second, want[n : 2 * n])):  # no row comes twice
+            x = got[(teacher, label)][teacher][:, 0]
+            assert np.allclose(np.sort(x if label else 1 - x)[::-1], part, atol=1e-6)
+
+
 def brute_classes(rows):
     sets = {}
     for i, t in rows:
