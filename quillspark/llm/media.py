@@ -4,11 +4,14 @@ A payload (UTF-8, filled with bytes 255 up to a positive multiple of a frame) be
 8-bit samples are the payload's bytes: each frame a lossless JPEG (SOF3, first predictor, Huffman), each file a
 RIFF AVI with an idx1 index. Reading goes by the index: frames are entropy decoded independently of each other
 (many frames side by side, as rows of numpy arrays), predictions are undone, and shots are found where the
-histogram difference of neighbouring frames stands out from the ones before it.
-
-Defined results: null text counts as empty (one frame of filling); equal texts give equal values wherever they
-stand; repeated rows each get their own result; an empty table gives an empty result; columns other than doc_id
-and text are ignored. A file without an index is read by walking its chunks; a truncated one is an error.
+histogram difference of neighbouring frames stands out from the ones before it. Frames are coded and decoded in
+groups of BATCH_BYTES samples, whatever the length of a text, so a long one takes no more memory at a time.
+
+Defined results: null text counts as empty (one frame of filling); a very long text is a longer file; equal texts give
+equal values wherever they stand; repeated rows each get their own result; an empty table gives an empty result;
+columns other than doc_id and text are ignored. A file without an index is read by walking its chunks. A file that
+can't be read (truncated, of another kind) gives a row whose payload columns are null, whose feature says `broken` and
+which has no clips.
 """
 
 from __future__ import annotations
@@ -123,6 +126,14 @@ def encode_frames(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def decode_frames(scans: list[bytes], counts=CODE_COUNTS, symbols=CODE_SYMBOLS) -> np.ndarray:
     """The (n, FRAME) samples of entropy-coded scans."""
+    samples, whole = decoded(scans, counts, symbols)
+    if not whole.all():
+        raise ValueError("a frame's data ends too early")
+    return samples
+
+
+def decoded(scans: list[bytes], counts=CODE_COUNTS, symbols=CODE_SYMBOLS) -> tuple[np.ndarray, np.ndarray]:
+    """The (n, FRAME) samples of entropy-coded scans, and which of them had data enough."""
     n = len(scans)
     raw = np.frombuffer(b"".join(scans), np.uint8)
     ends = np.cumsum(np.fromiter(map(len, scans), np.int64, n))
@@ -133,16 +144,16 @@ def decode_frames(scans: list[bytes], counts=CODE_COUNTS, symbols=CODE_SYMBOLS)
     diff, used = decode_tables(tuple(counts), tuple(symbols))
     pos = np.concatenate(([0], ends[:-1])) * 8
     d = np.empty((FRAME, n), np.int16)
+    stopped = np.zeros(n, bool)
     for k in range(FRAME):
-        bits = ((window[pos >> 3] << (pos & 7).astype(np.uint32)) >> 8) & 0xFFFF
+        bits = ((window[np.minimum(pos >> 3, len(window) - 1)] << (pos & 7).astype(np.uint32)) >> 8) & 0xFFFF
         d[k] = diff[bits]
+        stopped |= used[bits] == 0  # no code begins so
         pos += used[bits]
-    if (pos > ends * 8).any():
-        raise ValueError("a frame's data ends too early")
     d = d.T.reshape(n, SIDE, SIDE).astype(np.int64)
     d[:, 0, 0] += 128
     d[:, :, 0] = np.cumsum(d[:, :, 0], axis=1)
-    return np.cumsum(d, axis=2).reshape(n, FRAME).astype(np.uint8)
+    return np.cumsum(d, axis=2).reshape(n, FRAME).astype(np.uint8), (pos <= ends * 8) & ~stopped
 
 
 # --- files ---
@@ -207,11 +218,40 @@ def read_avi(data: bytes) -> tuple[float, list[bytes]]:
     return rate, [data[a : a + s] for a, s in places]
 
 
-def scan_of(frame: bytes) -> bytes:
-    """The entropy-coded data of a frame as this module writes it."""
-    if not frame.startswith(HEAD) or not frame.endswith(TAIL):
+@lru_cache(maxsize=64)
+def head_of(head: bytes) -> tuple[tuple, tuple]:
+    """The Huffman code (counts, symbols) that the segments of a lossless frame's head give; they are all parsed."""
+    at, shape, code, scan = 2, None, None, None
+    while at + 4 <= len(head):
+        mark, kind, size = struct.unpack_from(">BBH", head, at)
+        body = head[at + 4 : at + 2 + size]
+        if mark != 0xFF or len(body) != size - 2:
+            raise ValueError("a broken segment")
+        if kind == 0xC3:
+            bits, high, wide, parts = struct.unpack_from(">BHHB", body)
+            shape = (bits, high, wide, parts)
+        elif kind == 0xC4:
+            counts = tuple(body[1:17])
+            code = (counts, tuple(body[17 : 17 + sum(counts)]))
+        elif kind == 0xDA:
+            scan = tuple(body)
+        at += 2 + size
+    if shape != (8, SIDE, SIDE, 1) or code is None or scan != (1, 1, 0, 1, 0, 0):
+        raise ValueError("a frame of another kind")
+    return code
+
+
+def scan_of(frame: bytes) -> tuple[bytes, tuple[tuple, tuple]]:
+    """The entropy-coded data of a frame, and the code it is in."""
+    at = 2
+    if frame[:2] != b"\xff\xd8" or not frame.endswith(TAIL):
         raise ValueError("a frame of another kind")
-    return frame[len(HEAD) : -len(TAIL)]
+    while at + 4 <= len(frame):
+        last = frame[at + 1] == 0xDA
+        at += 2 + struct.unpack_from(">H", frame, at + 2)[0]
+        if last:
+            return frame[at : -len(TAIL)], head_of(frame[:at])
+    raise ValueError("a frame without a scan")
 
 
 def shots(frames: np.ndarray) -> list[tuple[int, int]]:
@@ -237,37 +277,62 @@ def payload(text: str) -> tuple[int, bytes]:
     return len(data), data + FILL * (-len(data) % FRAME if data else FRAME)
 
 
-def _grouped(texts: list[str]) -> Iterator[list[str]]:
-    group, size = [], 0
-    for t in texts:
-        group.append(t)
-        size += len(t) + FRAME
-        if size > BATCH_BYTES:
+def _grouped(items: list, size) -> Iterator[list]:
+    """Runs of items of about BATCH_BYTES together; a larger one is alone with what came before it."""
+    group, total = [], 0
+    for x in items:
+        group.append(x)
+        total += size(x)
+        if total > BATCH_BYTES:
             yield group
-            group, size = [], 0
+            group, total = [], 0
     if group:
         yield group
 
 
+#: Frames that are coded together.
+TOGETHER = BATCH_BYTES // FRAME
+
+
 def store(texts: list[str]) -> list[tuple[int, bytes]]:
     """(bytes of the text, AVI file) of each text."""
     plain = [payload(t) for t in texts]
-    data, ends = encode_frames(np.frombuffer(b"".join(p for _, p in plain), np.uint8).reshape(-1, FRAME))
-    blob, edges = data.tobytes(), [0, *ends.tolist()]
+    samples = np.frombuffer(b"".join(p for _, p in plain), np.uint8).reshape(-1, FRAME)
+    scans: list[bytes] = []
+    for k in range(0, len(samples), TOGETHER):
+        data, ends = encode_frames(samples[k : k + TOGETHER])
+        blob, edges = data.tobytes(), [0, *ends.tolist()]
+        scans += [blob[a:z] for a, z in zip(edges, edges[1:], strict=False)]
     out, at = [], 0
     for size, p in plain:
         n = len(p) // FRAME
-        out.append((size, write_avi([blob[edges[k] : edges[k + 1]] for k in range(at, at + n)])))
+        out.append((size, write_avi(scans[at : at + n])))
         at += n
     return out
 
 
-def load(files: list[bytes]) -> list[tuple[float, np.ndarray]]:
-    """(frames a second, samples) of each file, from its stored bytes alone."""
-    read = [read_avi(f) for f in files]
-    frames = decode_frames([scan_of(f) for _, fs in read for f in fs])
-    ends = np.cumsum([len(fs) for _, fs in read])
-    return [(rate, part) for (rate, _), part in zip(read, np.split(frames, ends[:-1]), strict=True)]
+def load(files: list[bytes]) -> list[tuple[float, np.ndarray] | None]:
+    """(frames a second, samples) of each file, from its stored bytes alone; None for one that can't be read."""
+    read: list[tuple[float, list] | None] = []
+    for f in files:
+        try:
+            rate, frames = read_avi(f)
+            read.append((rate, [scan_of(x) for x in frames]) if frames and rate else None)
+        except (ValueError, struct.error, IndexError):
+            read.append(None)
+    scans = [x for r in read if r for x in r[1]]
+    samples, whole = np.empty((len(scans), FRAME), np.uint8), np.zeros(len(scans), bool)
+    for code in {c for _, c in scans}:
+        mine = [k for k, (_, c) in enumerate(scans) if c == code]
+        for k in range(0, len(mine), TOGETHER):
+            part = mine[k : k + TOGETHER]
+            samples[part], whole[part] = decoded([scans[i][0] for i in part], *code)
+    out, at = [], 0
+    for r in read:
+        n = len(r[1]) if r else 0
+        out.append((r[0], samples[at : at + n]) if r and whole[at : at + n].all() else None)
+        at += n
+    return out
 
 
 def media_files(docs: DataFrame) -> DataFrame:
@@ -276,7 +341,7 @@ def media_files(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             ids, at = b.column("doc_id"), 0
-            for group in _grouped(b.column("text").to_pylist()):
+            for group in _grouped(b.column("text").to_pylist(), lambda t: len(t) + FRAME):
                 rows = store(group)
                 yield pa.RecordBatch.from_arrays([ids.slice(at, len(group)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["doc_id", "n_bytes", "media"])
                 at += len(group)
@@ -291,7 +356,11 @@ _CLIPS = pa.list_(pa.struct([("clip", pa.int32()), ("first_frame", pa.int32()),
 def _read_back(ids, sizes, files):
     sha = lambda x: hashlib.sha256(x).hexdigest()
     rows = []
-    for size, f, (rate, frames) in zip(sizes, files, load(files), strict=True):
+    for size, f, got in zip(sizes, files, load(files), strict=True):
+        if got is None:
+            rows.append((size, None, None, None, len(f), sha(f), "broken", []))
+            continue
+        rate, frames = got
         data = frames.tobytes()
         cuts = shots(frames)
         clips = [{"clip": k, "first_frame": a, "frames": z - a, "start_s": a / rate, "end_s": z / rate} for k, (a, z) in enumerate(cuts)]
@@ -307,9 +376,11 @@ def read_back(media: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                yield _read_back(part.column("doc_id"), part.column("n_bytes").to_pylist(), part.column("media").to_pylist())
+            at = 0
+            for group in _grouped(b.column("media").to_pylist(), lambda f: len(f or b"")):
+                part = b.slice(at, len(group))
+                yield _read_back(part.column("doc_id"), part.column("n_bytes").to_pylist(), [f or b"" for f in group])
+                at += len(group)
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, READ)
 

@@ -154,6 +154,49 @@ def test_avi_without_index_and_broken_files():
         media.read_avi(b"RIFF1234WAVE")
 
 
+def test_broken_files_are_told_and_end_nothing(spark):
+    good = media.store(["some text " * 200, "other"])
+    whole = good[0][1]
+    files = [whole, whole[: len(whole) // 2], b"", b"RIFF", whole.replace(media.TAIL, b"\xff\xd7"), whole.replace(media.HEAD[:20], b"\xff\xd8" + bytes(18)), good[1][1]]
+    df = spark.createDataFrame([(k, 5, bytearray(f)) for k, f in enumerate(files)] + [(9, 5, None)], "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in media.read_back(df).collect()}
+    assert [k for k, r in got.items() if r.feature != "broken"] == [0, 6] and got[1].payload_sha256 is None and got[9].media_bytes == 0 and got[2].clips == []
+
+
+def test_frames_of_another_code_are_read_by_their_own_tables():
+    counts, symbols = (0, 1, 5, 1, 1, 1), (0, 1, 2, 3, 4, 5, 6, 7, 8)
+    x = np.random.default_rng(5).integers(100, 140, (3, media.FRAME), dtype=np.uint8)
+    codes = media.huffman_codes(counts, symbols)
+    scans = []
+    for frame in x.reshape(-1, media.SIDE, media.SIDE).astype(int):
+        bits = ""
+        for r in range(media.SIDE):
+            for c in range(media.SIDE):
+                d = int(frame[r, c] - (frame[r, c - 1] if c else frame[r - 1, 0] if r else 128))
+                n = abs(d).bit_length()
+                code, size = codes[n]
+                bits += format(code, f"0{size}b") + (format(d if d >= 0 else d + (1 << n) - 1, f"0{n}b") if n else "")
+        bits += "1" * (-len(bits) % 8)
+        scans.append(bytes(int(bits[k : k + 8], 2) for k in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00"))
+    table = b"\x00" + bytes(counts) + bytes(16 - len(counts)) + bytes(symbols)
+    own = b"\x00" + bytes(media.CODE_COUNTS) + bytes(16 - len(media.CODE_COUNTS)) + bytes(media.CODE_SYMBOLS)
+    file = media.write_avi(scans).replace(own, table)
+    ((rate, got),) = media.load([file])
+    assert rate == media.RATE and (got == x).all()
+
+
+def test_long_texts_are_coded_in_parts(monkeypatch):
+    text = "a long text " * 3000
+    want = media.store([text, "b"])
+    monkeypatch.setattr(media, "TOGETHER", 7)
+    assert media.store([text, "b"]) == want and media.load([f for _, f in want])[0][1].tobytes() == media.payload(text)[1]
+
+
+def test_media_of_an_empty_table(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, media string, n_bytes int")
+    assert media.read_back(media.media_files(none)).count() == 0
+
+
 def test_shots_stand_where_pictures_change():
     x = np.zeros((30, media.FRAME), np.uint8)
     x[12:] = 200
