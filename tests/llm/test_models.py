@@ -241,3 +241,74 @@ def test_pipeline(spark):
     assert kept["exact_dedup"] == kept["quality"] - {2000} and kept["near_dedup"] == kept["exact_dedup"] - {2001}
     assert kept["packing"] == kept["secret_scan"] == kept["near_dedup"]
     assert corpus_pipeline.run(spark, d).count() == now.count()
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, rep long, h long, k1 long, rank long, length long, score double, bands string, __q_id long, a double, x double"
+
+
+def clashing(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, 1, 1, 1, 1, 0.5, "b", 1, 0.5, 0.5) for i, t in rows], CLASHING)
+
+
+def test_extra_columns_of_any_name(spark):
+    from quillspark.llm import media, packing
+
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 40)) for i in range(20)] + [(20, None), (21, ""), (22, "w " * 60_000), (3, "other words entirely " * 9)]
+    docs, ids = clashing(spark, rows), sorted(i for i, _ in rows)
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(20)], "doc_id long, quality int, toxic int")
+    for got in (near_dedup.near_classes(docs), toxicity.toxicity(docs, labels), quality.quality_scores(docs, labels), media.read_back(media.media_files(docs))):
+        assert sorted(r.doc_id for r in got.collect()) == ids
+    assert sorted({r.doc_id for r in packing.packed(docs).collect()}) == sorted(set(ids))
+
+
+def test_rows_that_share_an_id_stay_apart(spark):
+    rng = random.Random(9)
+    a, b = prose(rng, 90), " ".join(f"b{k}" for k in range(90))
+    rows = [(3, a), (7, a + " tail"), (7, b), (3, a + " end"), (9, b + " more"), (3, a)]
+    got = sorted((r.doc_id, r.class_id, r.is_representative) for r in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    # One text stands for the class of a; its row comes twice. The class of b is named by 7.
+    assert [x[:2] for x in got] == [(3, 3), (3, 3), (3, 3), (7, 3), (7, 7), (9, 7)]
+    assert sum(x[2] for x in got if x[1] == 7) == 1 and sum(x[2] for x in got if x[1] == 3) in (1, 2)
+
+
+def test_scores_of_repeated_rows_and_tied_labels(spark):
+    rng = random.Random(10)
+    rows = [(i, prose(rng, 40, ("loser", "idiot") if i % 4 == 0 else ())) for i in range(400)]
+    docs = clashing(spark, rows + rows[:50])
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), int(i % 4 == 0)) for i in range(400)] * 2, "doc_id long, quality int, toxic int")
+    for scored in (quality.quality_scores(docs, labels), toxicity.toxicity(docs, labels, 200)):
+        got = {}
+        for r in scored.collect():
+            got.setdefault(r.doc_id, []).append(r.score)
+        assert all(len(v) == (2 if i < 50 else 1) and len(set(v)) == 1 for i, v in got.items())
+    # Twice the same sample and the same scores.
+    again = [{r.doc_id: r.score for r in toxicity.toxicity(docs, labels, 200).collect()} for _ in range(2)]
+    assert again[0] == again[1]
+
+
+def test_pipeline_loses_no_row_that_shares_an_id(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    a, b, long = prose(rng, 90), " ".join(f"b{k}" for k in range(90)), " ".join(f"l{k}" for k in range(30_000))
+    rows = [(3, a), (7, a + " tail"), (7, b), (8, b), (9, long), (9, long), (11, None), (12, ""), (None, a)]
+    folder = f"file://{tmp_path}"
+    clashing(spark, rows).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+    now = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = spark.createDataFrame(stage(spark, now, folder).collect(), now.schema)
+    kept = sorted((str(r.doc_id), (r.text or "")[:9]) for r in now.collect())
+    assert kept == sorted([("3", a[:9]), ("7", b[:9]), ("9", long[:9]), ("9", long[:9]), ("11", ""), ("None", a[:9])])
+    packed = corpus_pipeline.run(spark, folder).collect()
+    assert {r.doc_id for r in packed} == {3, 7, 9, 11, None} and sum(r.length for r in packed if r.doc_id == 9) > 60_000
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    folder = f"file://{tmp_path}"
+    clashing(spark, []).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+    assert corpus_pipeline.run(spark, folder).count() == 0
