@@ -155,8 +155,9 @@ def _element(row: dict) -> str:
     sizes = [f'w:{k}="{int(n)}"' for k, n in (("left", row["left_indent"]), ("firstLine", row.get("indent"))) if n is not None and n == n]
     marks += f"<w:ind {' '.join(sizes)}/>" if sizes else ""
     marks += '<w:jc w:val="center"/>' if row["centered"] else ""
-    before, slanted, after = row["text"].partition(row.get("italic") or row["text"])
-    pieces = ((before, toggles), (slanted, "<w:i/>" if row.get("italic") else toggles), (after, toggles))
+    part = row.get("italic") or ""
+    before, slanted, after = row["text"].partition(part) if part else ("", row["text"], "")
+    pieces = ((before, toggles), (slanted, "<w:i/>" if part else toggles), (after, toggles))
     text = "".join(f'<w:r><w:rPr>{on}</w:rPr><w:t xml:space="preserve">{escape(t)}</w:t></w:r>' for t, on in pieces if t)
     p = f'<w:p><w:pPr>{marks}</w:pPr>{text}{"<w:r><w:br w:type=\"page\"/></w:r>" if row["page_break"] else ""}</w:p>'
     return f"<w:tbl><w:tr><w:tc>{p}</w:tc></w:tr></w:tbl>" if row["in_table"] else p
