@@ -5,9 +5,9 @@ chunk is shuffled once (repeats are combined before the shuffle) to prove that i
 that chunk alone; from then on a document is its ordered list of chunk identifiers, and lists are compared
 instead of texts.
 
-Defined results: null text counts as empty and empties are copies of each other; a null doc_id is never
-the smallest unless a group has no other; repeated rows with the smallest doc_id are all kept; an empty
-table gives an empty result; columns other than doc_id and text are ignored.
+Defined results: null text counts as empty and empties are copies of each other; a very long text is many chunks; a
+null doc_id is never the smallest unless a group has no other; repeated rows with the smallest doc_id are all kept; an
+empty table gives an empty result; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations

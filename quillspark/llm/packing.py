@@ -3,12 +3,13 @@
 The lengths' histogram has at most `capacity` entries whatever the corpus, so the plan is made on the driver
 from it alone: patterns of up to MOST_PARTS lengths (in bins of BIN tokens) that fill a sequence are
 enumerated, their repeat counts fitted to the histogram, rounded down and filled with real lengths (the last
-place goes to the longest length that still fits); what is left is packed best fit, longest first, into the
-gaps and into new sequences. A plan is a few thousand runs (lengths, repeats). Documents find their place in
+place goes to the longest length that still fits); sequences that lack at most GAP tokens stand, and what is left is
+packed best fit, longest first, into the gaps and into new sequences. A plan is a few thousand runs (lengths, repeats). Documents find their place in
 it by their rank among the pieces of equal length, which is counted in blocks, so a hot length is spread out.
 
-Defined results: null text counts as empty, and an empty text is one token (the end mark); a table without
-rows gives no rows; repeated rows each get a place; columns other than doc_id and text are ignored.
+Defined results: null text counts as empty, and an empty text is one token (the end mark); a very long text is many
+pieces; pieces of equal length are dealt out in blocks of hashes, then by doc_id and piece; a table without rows gives
+no rows; repeated rows each get a place; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ CAPACITY = 2048
 END_ID = 0
 #: Width of a bin of lengths, and lengths in a pattern at most.
 BIN, MOST_PARTS = 32, 4
+#: Tokens that a fitted sequence may lack; sequences that lack more are packed anew.
+GAP = 4
 #: Blocks in which the pieces of one length are counted.
 BLOCKS = 1024
 
@@ -129,7 +132,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, width: int = BIN) ->
                     a[b - 1, k] += 1
             x = np.floor(nnls(a, hist) + 1e-6).astype(np.int64)
             for k in sorted(np.flatnonzero(x).tolist(), key=lambda k: found[k], reverse=True):
-                runs += _full_only(_fill(found[k], int(x[k]), left, capacity, width), left, capacity)
+                runs += _nearly_full(_fill(found[k], int(x[k]), left, capacity, width), left, capacity)
     return _best_fit(runs, left, capacity)
 
 
@@ -154,13 +157,13 @@ def _fill(pattern: tuple[int, ...], repeats: int, left: np.ndarray, capacity: in
     return out
 
 
-def _full_only(runs, left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """The runs without a gap; the lengths of the others are residuals again."""
+def _nearly_full(runs, left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """The runs with a gap of at most GAP; the lengths of the others are residuals again."""
     for lengths, n in runs:
-        if sum(lengths) < capacity:
+        if sum(lengths) < capacity - GAP:
             for i in lengths:
                 left[i] += n
-    return [r for r in runs if sum(r[0]) == capacity]
+    return [r for r in runs if sum(r[0]) >= capacity - GAP]
 
 
 def _best_fit(runs, left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:

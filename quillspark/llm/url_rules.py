@@ -6,9 +6,10 @@ rule. Both sides are sorted and swept once: a stack holds the nested rules that
 and its top is the longest of them. The rules are configuration and travel with the tasks in blocks of
 MOST_RULES; more rules mean more sweeps over the same batch, never a dropped rule. Pages are not shuffled.
 
-Defined results: a null url, or one without `://`, has an empty host and path and the default verdict; of two
-rules with the same length the one with the longer host wins, of two that are equal the blocking one; repeated
-rows each get their own result; columns other than page_id and url are ignored.
+Defined results: a null url, or one without `://`, has an empty host and path and the default verdict; a very long url
+is read whole, with keys for no more labels of its host than the deepest rule has; of two rules with the same length
+the one with the longer host wins, of two that are equal the blocking one; repeated rows each get their own result; an
+empty table gives an empty result; columns other than page_id and url are ignored.
 """
 
 from __future__ import annotations
