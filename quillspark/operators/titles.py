@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .references import ENTRY_RULES
 from .rules import BY_ID
 
 TITLES = {
@@ -37,9 +38,36 @@ TITLES = {
 }
 
 
+#: What to do about findings that put nothing in the place of their match.
+ADVICE = {
+    "MEC002": "Let a word begin the sentence, or spell the number out.", "MEC004": "Write the number in numerals.", "MEC009": "Give the exact p value; only below .001 give p < .001.",
+    "MEC014": "Write days, weeks and months out in full.", "MEC015": "Take the s off the unit symbol.", "MEC016": "Shorten the abstract to 250 words at most.", "MEC017": "Leave the phrase out and begin with the subject itself.",
+    "MEC020": "Set the quotation as a block: indented by 0.5 in. and without quotation marks.", "MEC021": "Put three spaced points (. . .) in place of the ellipsis.", "MEC022": "Spell one of the two numbers out.",
+    "MEC023": "Indent the first line by 0.5 in. (1.27 cm).", "MEC029": "Set short items as bullets or letters, not as numbered steps.", "MEC030": "Give all items the same form, case and end mark.", "MEC032": "Set the items as a list of their own, or recast them as a sentence.",
+    "STY001": "Recast it in the active voice.", "STY005": "Use that, or put a comma before which if the clause only adds something.", "STY006": "Name who based it on that: Based on it, we found ...", "STY007": "Choose a more formal word.",
+    "STY008": "Use I, or we if there are more authors.", "STY010": "Add a noun: This finding shows ...", "STY012": "Repeat the citation in its full or short form.", "STY013": "State it: it appears, it seems, the data suggest.",
+    "STY014": "Use although, whereas or but, unless both happen at once.", "STY015": "Name the people who do it, or let findings show or suggest it.", "STY016": "Use small letters unless it is an official title.",
+    "HED001": "Use the next level down, without leaving one out.", "HED002": "Write at least one paragraph under the heading.",
+    "CIT001": "Join the names by an ampersand.", "CIT002": "Join the names by the word and.", "CIT003": "Shorten it to the first name and et al.", "CIT004": "Sort the citations by first author, then by year.", "CIT006": "Write n.d. with both full stops.",
+    "CIT007": "Add the page (p. 3) or the paragraph (para. 3).", "CIT011": "Leave the year out when the name comes again in the paragraph.", "CIT012": "Give the surname alone.", "CIT014": "Keep it out of the reference list.",
+    "CIT019": "Cite the source once where it is clear that you go on with it.", "CIT020": "Add the exact date.",
+    "REF001": "Begin the DOI with https://doi.org/.", "REF002": "Write the DOI as a link, without a label.", "REF003": "Leave the words before the link out.", "REF004": "Leave the words before the link out.", "REF005": "Take the full stop off the link.",
+    "REF006": "Write (n.d.).", "REF007": "Join the last two authors by an ampersand.", "REF008": "List the authors (up to 20) instead of et al.", "REF009": "Shorten it to ed.", "REF010": "Leave the business form out of the publisher's name.",
+    "REF011": "Put a full stop after the date.", "REF012": "Write (in press).", "REF013": "Close up the volume and the issue: 30(5).", "REF014": "Write Article with a capital.", "REF015": "Add (Original work published ...).",
+    "REF016": "Write (Original work published ...).", "REF017": "Take the s off the unit symbol.", "REF018": "Sort the entries by author.", "REF019": "Name the list References.", "REF020": "Name the list References.",
+    "REF021": "Add a, b and so on to the years.", "REF022": "Shorten it to (Ed.) or (Eds.).", "REF023": "Leave the ISBN or ISSN out.", "REF024": "Use capitals only for the first word and for names.", "REF025": "Cite it in the text alone.",
+    "REF026": "Set the periodical's title and volume in italics.",
+    "TBL001": "Name the table or figure by its number.", "TBL002": "Use Arabic numerals.", "TBL003": "Give it a number of its own.", "TBL006": "Work the reference into a sentence.",
+    "PRF001": "Add to the paragraph, or join it to the next one.", "PRF002": "Make two paragraphs of it.", "PRF003": "See whether your programme allows the first person.",
+}
+SECTIONS = {r.rule_id: r.section for r in BY_ID.values()} | {r[0]: r[2] for r in ENTRY_RULES} | {"HED001": "2.27", "HED002": "2.27", "MEC016": "2.9", "MEC023": "2.24", "MEC029": "6.50-6.51", "MEC030": "6.49", "REF021": "9.47", "REF026": "9.25"}
+
+
 def labelled(found: DataFrame) -> DataFrame:
-    """found with label, message and fix."""
-    title = F.create_map(*[F.lit(x) for kv in TITLES.items() for x in kv])[F.col("rule_id")]
+    """found with label, message (its section, label and match), fix (the replacement or what to do) and fixable."""
+    of = lambda pairs: F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])[F.col("rule_id")]
+    title, section = of(TITLES), of({k: v for k, v in SECTIONS.items() if v})
     fixable = F.col("rule_id").isin([r.rule_id for r in BY_ID.values() if r.fixable])
-    said = F.concat(title, F.when(F.col("match") != "", F.concat(F.lit(": Found: '"), F.col("match"), F.lit("'"))).otherwise(""), F.lit("."))
-    return found.withColumns({"label": title, "message": said, "fix": F.when(fixable & (F.col("match") != ""), F.concat(F.lit("Change '"), F.col("match"), F.lit("'."))).otherwise(""), "fixable": fixable})
+    said = F.concat(F.coalesce(F.concat(F.lit("APA §"), section, F.lit(": ")), F.lit("")), title, F.when(F.col("match") != "", F.concat(F.lit(". Found: '"), F.col("match"), F.lit("'"))).otherwise(""), F.lit("."))
+    replaced = F.concat(F.lit("Replace '"), F.col("match"), F.lit("' with '"), F.col("replacement"), F.lit("'"))
+    return found.withColumns({"label": title, "message": said, "fix": F.coalesce(replaced, of(ADVICE), F.lit("")), "fixable": fixable})

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import titles
+from quillspark.operators import ledger, titles
 from quillspark.operators.references import ENTRY_RULES
 from quillspark.operators.rules import BY_ID, Config
 from quillspark.plans import review
@@ -16,6 +16,42 @@ def test_every_rule_has_a_title():
     assert set(titles.TITLES) >= set(BY_ID) | {r[0] for r in ENTRY_RULES} and len(titles.TITLES) == 133
 
 
+def test_every_rule_says_what_to_do():
+    from quillspark.operators.rules import REPLACEMENTS
+
+    assert set(titles.ADVICE) | set(REPLACEMENTS) == set(titles.TITLES) and set(titles.SECTIONS) == set(titles.TITLES)
+
+
+def test_fixes_and_messages(spark):
+    found, _, _ = review.check_texts(spark.createDataFrame([(1, "The end result was 45 percent. He's 6 of 9 there.")], "doc_id long, text string"))
+    got = {r.rule_id: (r.message, r.fix) for r in found.collect()}
+    assert got["STY002"] == ("APA §4.5: Redundant phrase. Found: 'end result'.", "Replace 'end result' with 'result'")
+    assert got["MEC006"][1] == "Replace '45 percent' with '45%'" and got["STY009"][1] == "Replace 'He's' with 'expand this contraction'"
+    assert got["PRF001"][1].startswith("Add") if "PRF001" in got else True
+
+
+def test_a_review_stops_at_a_documents_first_error(spark):
+    def model(text):
+        if "bad" in text:
+            raise RuntimeError("no answer")
+        return json.dumps([{"original": text, "revised": text + " Yes."}])
+
+    chunks = spark.createDataFrame([(1, 0, "one"), (1, 1, "bad"), (1, 2, "three"), (2, 0, "four")], "doc_id long, chunk int, text string")
+    said = review.answered(chunks, model)
+    assert sorted((r.doc_id, r.chunk, r.error) for r in said.collect()) == [(1, 0, None), (1, 1, "no answer"), (2, 0, None)]
+    asked = spark.createDataFrame([(1, 5, "a", False), (2, 6, "b", True)], "doc_id long, user_id int, request_id string, is_trial boolean")
+    responses, kept, done = review.review_run(asked, said)
+    assert {r.doc_id: (r.status, r.completed, r.error) for r in responses.collect()} == {1: ("error", 1, "no answer"), 2: ("ok", 1, None)}
+    assert kept.count() == 2
+    charged, seen, trials = ledger.committed(done)
+    assert [(r.user_id, r.delta) for r in charged.collect()] == [(5, -1)] and {r.request_id for r in seen.collect()} == {"a_chunk0", "b_chunk0"} and [r.user_id for r in trials.collect()] == [6]
+
+
+def test_orders(spark):
+    rows = spark.createDataFrame([(1, "b", None, None, None, 2, None, "x"), (1, "a", 1, 1, 0, None, "c", None), (1, "b", 1, 1, 0, None, "a", None)], "doc_id int, bucket string, page int, para_on_page int, idx int, line int, citation string, reference string")
+    assert [(r.bucket, r.citation, r.line) for r in review.issues_for_reader(rows).collect()] == [("a", "c", None), ("b", "a", None), ("b", None, 2)]
+
+
 def test_check_texts(spark):
     texts = spark.createDataFrame([(1, BODY + "\nReferences\nSmith, J. (2020). T.\nOther, B. (2001). T."), (2, "No list here. It ends.")], "doc_id long, text string")
     found, issues, stats = review.check_texts(texts)
