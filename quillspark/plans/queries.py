@@ -256,6 +256,17 @@ def chunk_split(spark, sf_dir):
     return c.selectExpr("doc_id", "chunk", f"cast({words('part')} AS bigint) AS n_words", "cast(length(part) AS bigint) AS n_chars")
 
 
+#: Chunk starts follow one another: each is the first sentence end with 300 words or more since the one before, while more than 300 are left.
+_CHUNK_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, len(list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '')) AS n FROM documents),
+u AS (SELECT doc_id, n, regexp_replace(t, '^\s+|\s+$', '', 'g') AS u FROM d WHERE n > 300),
+p AS (SELECT doc_id, n, len(u) AS size, string_split_regex(u, '[.!?]\s+') AS parts, regexp_extract_all(u, '[.!?]\s+') AS ends FROM u),
+q AS (SELECT doc_id, unnest(range(1, len(ends) + 1)) AS i, unnest(parts[1:len(ends)]) AS part, unnest(ends) AS mark FROM p),
+e AS (SELECT doc_id, i, sum(len(list_filter(string_split_regex(part || '.', '\s+'), lambda x: x <> ''))) OVER w AS words, sum(len(part) + len(mark)) OVER w - len(mark) + 1 AS pos, len(mark) - 1 AS gap FROM q WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT doc_id, n, size, 0 AS chunk, 0::HUGEINT AS words, 0::HUGEINT AS pos, 0::BIGINT AS gap FROM p
+  UNION ALL SELECT c.doc_id, any_value(c.n), any_value(c.size), any_value(c.chunk) + 1, arg_min(e.words, e.i), arg_min(e.pos, e.i), arg_min(e.gap, e.i) FROM c JOIN e ON c.doc_id = e.doc_id AND e.words - c.words >= 300 WHERE c.n - c.words > 300 GROUP BY c.doc_id),
+x AS (SELECT doc_id, chunk, coalesce(lead(words) OVER w, n) - words AS n_words, coalesce(lead(pos) OVER w, size) - pos - gap AS n_chars FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY chunk))
+SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, CAST(n_words AS BIGINT) AS n_words, CAST(n_chars AS BIGINT) AS n_chars FROM x UNION ALL SELECT doc_id, 0, n, len(t) FROM d WHERE n <= 300"""
+
 
 def mock_edits(spark, sf_dir):
     """The offline stand-in's proposals for part names, screened."""
@@ -607,6 +618,7 @@ SELECT doc_id, bucket, coalesce(CAST(idx AS VARCHAR), '') AS idx, coalesce(CAST(
     "para_split": _PARA_SQL,
     "document_findings": _document_sql(),
     "chunk_estimate": r"WITH w AS (SELECT doc_id, len(list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '')) AS n FROM documents) SELECT doc_id, n AS n_words, CAST(greatest(1, ceil(n / 500)) AS BIGINT) AS chunks FROM w",
+    "chunk_split": _CHUNK_SQL,
     "mock_edits": _MOCK_SQL,
     "edit_screen": _SCREEN_SQL,
     "review_runs": _RUNS_SQL,
