@@ -30,15 +30,15 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import keyed_texts, table
+from .common import keyed_texts, settled, table
 
 TOKENIZER = "word_bpe_49k.json"
 #: Words in either half of an encoder's memory; when the younger half is full the older one is forgotten.
-MOST_WORDS = 200_000
+MOST_WORDS = 120_000
 #: Longer words aren't remembered.
 LONGEST_WORD = 64
 #: Characters of text that are encoded together.
-SLICE_CHARS = 2_500_000
+SLICE_CHARS = 1_000_000
 #: Pieces of more bytes have a tree of their own.
 SIDE_BY_SIDE = 64
 #: The others are characters whose lower case, composition and class are the same in all Unicode versions in use.
@@ -445,7 +445,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, texts: bool = Tru
             columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, columns, kinds.values())], names=["doc_id", *kinds])
 
-    return keyed_texts(docs).mapInArrow(run, schema)
+    return keyed_texts(docs).mapInArrow(settled(run), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -34,13 +34,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, small, stored, table
+from .common import keyed_texts, settled, small, stored, table
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 FEW = 4
-MOST_WORDS = 100_000
+MOST_WORDS = 50_000
 #: Shingles whose processes run side by side.
 BATCH = 100_000
 
@@ -152,7 +152,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             k1, k2, bands = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "h", "k1", "k2", "bands"])
 
-    return docs.mapInArrow(run, "doc_id bigint, h bigint, k1 bigint, k2 bigint, bands array<bigint>")
+    return docs.mapInArrow(settled(run), "doc_id bigint, h bigint, k1 bigint, k2 bigint, bands array<bigint>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays([part.column("rep"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["rep", "sh"])
 
-    return docs.select("rep", "text").mapInArrow(run, "rep bigint, sh array<bigint>")
+    return docs.select("rep", "text").mapInArrow(settled(run), "rep bigint, sh array<bigint>")
 
 
 def collapsed(sketch: DataFrame) -> tuple[DataFrame, bool]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import keyed_texts, stored, table
+from .common import keyed_texts, settled, stored, table
 
 CAPACITY = 2048
 END_ID = 0
@@ -58,7 +58,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return keyed_texts(docs).mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return keyed_texts(docs).mapInArrow(settled(run), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 # --- plan ---

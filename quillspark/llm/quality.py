@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .boosting import Boosted, Isotonic, logit, sigmoid
-from .common import small, small_batches, stored, table
+from .common import settled, small, small_batches, stored, table
 from .toxicity import sample
 
 #: Labelled rows, at most; they are those of least hash.
@@ -150,7 +150,7 @@ def features(docs: DataFrame) -> DataFrame:
             a, b = _rows(batch.select(["text", *have]).to_pandas())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(a), _lists(b)], names=["doc_id", "a", "b"])
 
-    return stored(known.mapInArrow(run, "doc_id bigint, a array<float>, b array<float>"), "quality-features")
+    return stored(known.mapInArrow(settled(run), "doc_id bigint, a array<float>, b array<float>"), "quality-features")
 
 
 def _lists(x: np.ndarray) -> pa.Array:
@@ -185,7 +185,7 @@ def _surest(pool: DataFrame):
                         found.append((keys[at], np.full(len(at), teacher, np.int32), np.full(len(at), label, np.int32), sure[at]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["key", "teacher", "label", "sure"])
 
-        judged = pool.select("key", "a", "b").mapInArrow(run, "key bigint, teacher int, label int, sure double").groupBy("teacher", "label", "key").agg(F.max("sure").alias("sure"))
+        judged = pool.select("key", "a", "b").mapInArrow(settled(run), "key bigint, teacher int, label int, sure double").groupBy("teacher", "label", "key").agg(F.max("sure").alias("sure"))
         # The surest of each block, then of all: no more than BLOCKS times the quota meet in one task.
         order = [F.desc("sure"), F.xxhash64("key"), "key"]
         block = Window.partitionBy("teacher", "label", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(BLOCKS))).orderBy(*order)
@@ -229,7 +229,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
             scores = model.score(_table(b.column("a")), _table(b.column("b")))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, pa.float64()) for x in scores)], names=["doc_id", "score_text", "score_meta", "score"])
 
-    scored = rows.mapInArrow(run, "doc_id bigint, score_text double, score_meta double, score double")
+    scored = rows.mapInArrow(settled(run), "doc_id bigint, score_text double, score_meta double, score double")
     return scored.withColumn("accepted", F.col("score") >= threshold)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Boosted, Isotonic, out_of_fold
-from .common import keyed_texts, stored, table
+from .common import keyed_texts, settled, stored, table
 
 #: Labelled rows to learn from, at most; they are those of least hash.
 SAMPLE = 20_000
@@ -181,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("__q_y"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
     # At most `bound` rows of FEATURES numbers reach the driver, in an order of their own.
-    got = sorted(rows.mapInArrow(run, "doc_id bigint, y double, x array<double>").collect(), key=lambda r: (r["doc_id"], r["x"]))
+    got = sorted(rows.mapInArrow(settled(run), "doc_id bigint, y double, x array<double>").collect(), key=lambda r: (r["doc_id"], r["x"]))
     x = np.array([r["x"] for r in got], float).reshape(len(got), FEATURES)
     y = np.array([min(1.0, max(0.0, r["y"])) for r in got])
     trees = Boosted().fit(x, y)
@@ -202,7 +202,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFra
             s = model.score(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64())], names=["doc_id", "score"])
 
-    scored = keyed_texts(docs).mapInArrow(run, "doc_id bigint, score double")
+    scored = keyed_texts(docs).mapInArrow(settled(run), "doc_id bigint, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 

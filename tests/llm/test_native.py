@@ -92,6 +92,19 @@ def test_postings_are_bounded_and_right(spark):
     assert sorted(d for r in index for d in r.doc_ids) == [i for i in range(3000) if i % 2]
 
 
+def test_places_find_every_trigram_once(spark):
+    rng = random.Random(12)
+    trigrams = ["abc", "bca", "b.c", "-ab", "^]a", "\\\\b"]
+    rows = [(i, "".join(rng.choices("abc.-^]\\", k=60))) for i in range(300)] + [(300, "ABC"), (301, ""), (302, "é🙂abcé")]
+    got = {(d, r.trigram) for r in secret_scan.postings(frame(spark, rows).select("doc_id", "text"), trigrams).collect() for d in r.doc_ids}
+    assert got == {(i, g) for i, t in rows for g in trigrams if g in t.lower()}
+    whole = secret_scan.postings(frame(spark, rows).select("doc_id", "text")).collect()
+    assert {(d, r.trigram) for r in whole for d in r.doc_ids} == {(i, t.lower()[k : k + 3]) for i, t in rows for k in range(len(t) - 2)}
+    # A rule that comes later is looked up in the index of all trigrams.
+    found = secret_scan.candidates(secret_scan.postings(frame(spark, rows).select("doc_id", "text")), {"new": secret_scan.trigram_query(r"\.-ab?c")}).collect()
+    assert {r.doc_id for r in found} >= {i for i, t in rows if re.search(r"\.-ab?c", t)}
+
+
 def test_redacted_keeps_columns(spark):
     df = spark.createDataFrame([(1, "x password=abcdefgh y", 21, "a"), (2, "clean", 5, "b"), (3, None, None, "c")], "doc_id long, text string, n_chars long, __extra string")
     rows = {r.doc_id: r for r in secret_scan.redacted(df).collect()}
