@@ -321,3 +321,17 @@ def test_styles_of_a_file(spark):
 @pytest.mark.parametrize("name, want", [("a b.docx", "a_b_reviewed.docx"), ("é.docx", "document_reviewed.docx"), ("x/y.tar.docx", "y.tar_reviewed.docx"), ("..", "document_reviewed.docx"), ("plain", "plain_reviewed.docx")])
 def test_download_names(spark, name, want):
     assert spark.createDataFrame([(name,)], "n string").selectExpr(docx.download_name("n")).first()[0] == want
+
+
+def test_small_word_files_share_batches_and_are_sound_zip_files():
+    import pyarrow as pa
+
+    row = {"style": "Quote", "text": "A & é", "all_bold": True, "all_italic": False, "centered": False, "page_break": True, "numbered": False, "left_indent": None, "in_table": False}
+    listed = [[row | {"idx": i, "text": f"{k} {i}"} for i in range(k % 7)] for k in range(900)]
+    written = list(docx._write_batches([pa.RecordBatch.from_pylist([{"path": str(k), "rows": rs} for k, rs in enumerate(listed)])]))
+    contents = [c for b in written for c in b.column("content").to_pylist()]
+    assert len(written) == 1 and all(zipfile.ZipFile(io.BytesIO(c)).testzip() is None for c in contents[:20])
+    read = list(docx._read_batches([*written, pa.RecordBatch.from_pylist([{"path": "x", "content": b"no"}])]))
+    rows = [r for b in read for r in b.to_pylist()]
+    assert len(read) == 2 and [(r["doc_id"], r["idx"], r["text"]) for r in rows[:-1]] == [(str(k), i, r["text"]) for k, rs in enumerate(listed) for i, r in enumerate(rs)]
+    assert all(r["all_bold"] and r["page_break"] and r["style"] == "Quote" and r["error"] is None for r in rows[:-1]) and rows[-1]["error"].startswith("BadZipFile")
