@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.partitions import spread
 from ..operators.paragraphs import COLUMNS, mask
 from .templates import TEMPLATES
 
@@ -31,9 +32,14 @@ def quoted(text: str | None) -> str:
 PARAGRAPHS_SQL = "SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS INTEGER) AS idx, CAST(o_orderkey % {k} AS INTEGER) AS k FROM orders"
 
 
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders, those of a customer in one task."""
+    return spread(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), "o_custkey")
+
+
 def positions(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), (F.row_number().over(order) - 1).cast("int").alias("idx"), (F.col("o_orderkey") % k).cast("int").alias("k"))
+    return orders(spark, sf_dir).select(F.col("o_custkey").alias("doc_id"), (F.row_number().over(order) - 1).cast("int").alias("idx"), (F.col("o_orderkey") % k).cast("int").alias("k"))
 
 
 def manuscripts(spark: SparkSession, sf_dir: str, family: str) -> DataFrame:

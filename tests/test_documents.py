@@ -335,3 +335,17 @@ def test_small_word_files_share_batches_and_are_sound_zip_files():
     rows = [r for b in read for r in b.to_pylist()]
     assert len(read) == 2 and [(r["doc_id"], r["idx"], r["text"]) for r in rows[:-1]] == [(str(k), i, r["text"]) for k, rs in enumerate(listed) for i, r in enumerate(rs)]
     assert all(r["all_bold"] and r["page_break"] and r["style"] == "Quote" and r["error"] is None for r in rows[:-1]) and rows[-1]["error"].startswith("BadZipFile")
+
+
+def test_tasks_follow_the_size_of_files(spark, tmp_path, monkeypatch):
+    from quillspark.functions import partitions
+
+    spark.range(20000).selectExpr("id AS doc_id", "cast(id % 3 AS int) AS idx", "'Rule' AS kind", "'l' AS label", "'ERROR' AS severity", "sha2(string(id), 256) AS target", "'m' AS message", "'f' AS fix", "named_struct('part', 0, 'a', id) AS seq").coalesce(1).write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    size = partitions.file_bytes(t)
+    assert partitions.file_bytes(t.union(t)) == 2 * size > 100_000 and partitions.file_bytes(spark.range(9)) == 0
+    assert partitions.spread(t, "doc_id", task_bytes=-(-size // 40)).rdd.getNumPartitions() == 40
+    assert partitions.spread(t, "doc_id", task_bytes=size).rdd.getNumPartitions() == t.rdd.getNumPartitions()
+    monkeypatch.setattr(partitions, "TASK_BYTES", -(-size // 40))
+    rows = annotate.without_repeats(t)
+    assert rows.rdd.getNumPartitions() == 40 and rows.count() == 20000
