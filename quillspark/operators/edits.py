@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.regex import java, lit, spans, strip, words
+from ..functions.regex import NONE, SENTENCE_END, java, lit, running, spans, strip, words
 from . import citations
 
 HEAVY = 0.40
@@ -89,23 +89,25 @@ def estimate(text: str, cap: int) -> str:
 
 def _sentence_chunks(unit: str, cap: int) -> str:
     """An oversize unit cut after sentences once a piece has at least cap words; citations stay whole."""
-    ends = spans("u", r"(?<=[.!?])\s+")
-    marks = f"concat({spans('u', citations.PARENTHETICAL)}, {spans('u', citations.MULTIPLE)}, {spans('u', citations.NARRATIVE)})"
-    free = f"filter({ends}, f -> NOT exists(k, c -> c.s <= f.s AND f.s < c.e))"
-    piece = "substring(u, a.at + 1, f.s - a.at)"
-    step = f"(a, f) -> IF(NOT a.done AND {words('substring(u, a.at + 1)')} > {cap} AND {words(piece)} >= {cap}, named_struct('at', f.s, 'out', concat(a.out, array({strip(piece)})), 'done', false), named_struct('at', a.at, 'out', a.out, 'done', a.done OR {words('substring(u, a.at + 1)')} <= {cap}))"
-    fold = f"aggregate(b, named_struct('at', 0, 'out', cast(array() AS array<string>), 'done', false), {step}, a -> concat(a.out, array({strip('substring(u, a.at + 1)')})))"
-    return f"flatten(transform(array({unit}), u -> flatten(transform(array({marks}), k -> flatten(transform(array({free}), b -> {fold}))))))"
+    ends = spans("u", SENTENCE_END)
+    marks = f"IF(instr(u, '(') = 0, {NONE}, concat({spans('u', citations.PARENTHETICAL)}, {spans('u', citations.MULTIPLE)}, {spans('u', citations.NARRATIVE)}))"
+    # Ends stand at white space, so words before each are a running sum over the sentences, and one more number is that of all.
+    counts = running(f"concat(transform(split(u, {lit(java(SENTENCE_END))}, -1), p -> {words('p')}), array(0))")
+    counted = f"zip_with({ends}, slice(w, 2, size(w) - 2), (f, n) -> named_struct('s', f.s, 'n', n))"
+    free = f"filter({counted}, f -> NOT exists(k, c -> c.s <= f.s AND f.s < c.e))"
+    step = f"(a, f) -> IF(w[size(w) - 1] - a.n > {cap} AND f.n - a.n >= {cap}, named_struct('n', f.n, 'cuts', concat(a.cuts, array(f.s))), a)"
+    cuts = f"aggregate({free}, named_struct('n', 0, 'cuts', array(0)), {step}, a -> a.cuts)"
+    pieces = f"transform(array({cuts}), x -> transform(x, (at, i) -> {strip('IF(i + 1 < size(x), substring(u, at + 1, x[i + 1] - at), substring(u, at + 1))')}))[0]"
+    return f"transform(array({unit}), u -> transform(array({marks}), k -> transform(array({counts}), w -> {pieces})[0])[0])[0]"
 
 
 def chunks(text: str, cap: int) -> str:
     """array<string>: a text in chunks of at most cap words where paragraphs allow, else cut after sentences."""
-    units = f"filter(split({text}, '(?<=\\\\n\\\\n)(?=[^\\\\n])'), u -> u <> '')"
-    n = words("u")
+    units = f"transform(filter(split({text}, '(?<=\\\\n\\\\n)(?=[^\\\\n])'), u -> u <> ''), u -> named_struct('u', u, 'n', {words('u')}))"
     out = "IF(a.cur = '', a.out, concat(a.out, array(a.cur)))"
-    large = f"named_struct('out', concat({out}, {_sentence_chunks(strip('u'), cap)}), 'cur', '', 'n', 0)"
-    fresh = f"named_struct('out', {out}, 'cur', u, 'n', {n})"
-    more = f"named_struct('out', a.out, 'cur', concat(a.cur, u), 'n', a.n + {n})"
-    step = f"(a, u) -> CASE WHEN {n} > {cap} THEN {large} WHEN a.n + {n} > {cap} AND a.cur <> '' THEN {fresh} ELSE {more} END"
+    large = f"named_struct('out', concat({out}, {_sentence_chunks(strip('x.u'), cap)}), 'cur', '', 'n', 0)"
+    fresh = f"named_struct('out', {out}, 'cur', x.u, 'n', x.n)"
+    more = f"named_struct('out', a.out, 'cur', concat(a.cur, x.u), 'n', a.n + x.n)"
+    step = f"(a, x) -> CASE WHEN x.n > {cap} THEN {large} WHEN a.n + x.n > {cap} AND a.cur <> '' THEN {fresh} ELSE {more} END"
     fold = f"aggregate({units}, named_struct('out', cast(array() AS array<string>), 'cur', '', 'n', 0), {step}, a -> {out})"
     return f"IF({words(text)} <= {cap}, array({text}), filter(transform({fold}, c -> {strip('c')}), c -> c <> ''))"

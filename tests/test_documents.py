@@ -349,3 +349,12 @@ def test_tasks_follow_the_size_of_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(partitions, "TASK_BYTES", -(-size // 40))
     rows = annotate.without_repeats(t)
     assert rows.rdd.getNumPartitions() == 40 and rows.count() == 20000
+
+
+def test_long_units_are_cut_in_time_that_follows_their_length(spark):
+    import time
+
+    text = " ".join(f"Word {i} stands here (Lee, 2020) and goes on to its end{'.?!'[i % 3]}" for i in range(6000))
+    start = time.time()
+    got = spark.createDataFrame([(text,)], "t string").selectExpr(f"{edits.chunks('t', 300)} AS c").first().c
+    assert time.time() - start < 60 and got == brute_chunks(text, 300)
