@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import references, structure
@@ -68,7 +68,12 @@ def missing_rules(wanted: DataFrame, sets: DataFrame) -> DataFrame:
 
     wanted: doc_id, rules; sets as rule_sets() gives them.
     """
-    none = F.array().cast("array<string>")
     both = wanted.withColumnRenamed("rules", "want").join(sets.withColumnRenamed("rules", "got"), "doc_id", "full_outer")
-    want, got = F.coalesce("want", none), F.coalesce("got", none)
-    return both.select("doc_id", F.array_except(want, got).alias("missing"), F.array_except(got, want).alias("unexpected"))
+    return both.select("doc_id", *differences(F.col("want"), F.col("got")))
+
+
+def differences(want: Column, got: Column) -> tuple[Column, Column]:
+    """missing, unexpected: what only one of two sets of rules has, for rows that hold both; null counts as empty."""
+    none = F.array().cast("array<string>")
+    want, got = F.coalesce(want, none), F.coalesce(got, none)
+    return F.array_except(want, got).alias("missing"), F.array_except(got, want).alias("unexpected")
