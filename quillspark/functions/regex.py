@@ -7,6 +7,9 @@ reads them as Unicode patterns whose only line end is the line feed.
 
 from __future__ import annotations
 
+import re
+from re import _parser as sre
+
 # White space, at the ends of a text and after an end mark.
 SPACE = r"\s+"
 ENDS = r"^\s+|\s+$"
@@ -79,3 +82,51 @@ def spans(text: str, pattern: str, flags: str = "", group: str = "", other: str
     shown = lambda k, names: f"o.{k}[i]" if names else "''"
     found = f"named_struct('s', at + o.b[i], 'e', at + o.b[i] + length(o.w[i]), 'm', o.w[i], 'g', {shown('g', group)}, 'h', {shown('h', other)})"
     return f"IF({text} RLIKE {p}, transform(array({taken}), o -> transform({steps}, (at, i) -> {found}))[0], {NONE})"
+
+
+#: Letters that Java takes for ASCII ones where case is ignored, and those.
+ODD_CASE = ("ſKıİ", "skii")
+MOST_LITERALS, LEAST_LENGTH = 24, 3
+
+
+def folded(text: str) -> str:
+    """Text in which a pattern's literals() stand wherever it matches, case ignored or not."""
+    return f"lower(translate({text}, '{ODD_CASE[0]}', '{ODD_CASE[1]}'))"
+
+
+def literals(pattern: str) -> tuple[str, ...]:
+    """Lower-case ASCII strings of which every match of a pattern has one; none if that can't be told or they are many or short."""
+    try:
+        found = _required(sre.parse(pattern))
+    except (re.error, OverflowError):  # what only the JVM reads
+        return ()
+    return tuple(sorted(found)) if _usable(found) else ()
+
+
+def _usable(found: set[str]) -> bool:
+    return 0 < len(found) <= MOST_LITERALS and min(map(len, found)) >= LEAST_LENGTH
+
+
+def _required(items) -> set[str]:
+    """Of the parts of a sequence that every match has, the one with the longest and fewest strings."""
+    parts, run = [], ""
+    for op, value in [*items, (None, None)]:
+        if op is sre.LITERAL and value < 128:
+            run += chr(value).lower()
+            continue
+        parts, run = [*parts, {run}] if run else parts, ""
+        if op is sre.SUBPATTERN:
+            parts.append(_required(value[3]))
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and value[0] > 0:
+            parts.append(_required(value[2]))
+        elif op is sre.BRANCH:
+            each = [_required(x) for x in value[1]]
+            parts.append(set().union(*each) if all(each) else set())
+    parts = [{x for x in p if not any(y != x and y in x for y in p)} for p in parts if p]
+    return max(parts, key=lambda p: (_usable(p), min(map(len, p)), -len(p)), default=set())
+
+
+def gated(test: str, pattern: str, low: str) -> str:
+    """A test for a pattern's matches that is made only where one of its literals stands in `low`, the text folded()."""
+    found = literals(pattern)
+    return f"(({' OR '.join(f'contains({low}, {lit(x)})' for x in found)}) AND {test})" if found else test

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.regex import folded
 from . import references, structure
 from .rules import CATEGORIES, RULES, Config
 from .structure import FINDING
@@ -16,7 +17,7 @@ STAGE = 6
 
 def paragraph_findings(paragraphs: DataFrame, cfg: Config = Config(), rules=RULES) -> DataFrame:
     """Findings of the rules that look at one body paragraph, in one scan: flags first, then places where a flag is up."""
-    prose = paragraphs.filter("NOT is_ref AND level IS NULL").select("doc_id", "idx", "r", "m")
+    prose = paragraphs.filter("NOT is_ref AND level IS NULL").selectExpr("doc_id", "idx", "r", "m", f"{folded('r')} AS low_r", f"{folded('m')} AS low_m")
     flags = ", ".join(f"IF({r.flag(cfg)}, {n}, null)" for n, r in enumerate(rules))
     hit = prose.selectExpr("doc_id", "idx", "r", "m", f"explode(array_compact(array({flags}))) AS n")
     places = " ".join(f"WHEN {n} THEN {r.sql(cfg, n)}" for n, r in enumerate(rules))

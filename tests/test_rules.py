@@ -92,3 +92,18 @@ def test_findings_are_sorted_and_placed(spark):
     p = paragraphs.from_text(spark.createDataFrame([(1, "HEAD\n\nThe end result was given. It ended.\n\nThey don't know. They left.")], "doc_id long, text string"))
     rows = findings.in_order(findings.findings(p)).collect()
     assert [r.rule_id for r in rows] == ["STY001", "STY002", "STY009"] and rows[0].location.startswith('Page 1, Para 1 - "The end') and rows[0].category == "style"
+
+
+def test_a_literal_of_each_rule_stands_where_it_matches(spark):
+    from quillspark.functions import regex
+
+    assert regex.literals(r"\b(?:which|that)\s+(?:was)?") == ("that", "which") and regex.literals(r"\(1\)\s*x+") == ("(1)",)
+    assert regex.literals(r"a|bcd") == regex.literals(r"(?:bcd)?\d") == regex.literals(r"\p{L}bcd") == ()
+    known = [r for r in RULES if r.pattern and regex.literals(r.pattern)]
+    assert len(known) > 50
+    texts = [t.replace("[[", "").replace("]]", "") for _, t in TEMPLATES] + ["The ſeniorſ came.", "Manİ ſpouse manKınd.", "WHEELCHAIR-BOUND"]
+    df = spark.createDataFrame([(t,) for t in texts], "m string").selectExpr("m AS low_m", "m", "m AS r").selectExpr("m", "r", f"{regex.folded('m')} AS low_m", f"{regex.folded('r')} AS low_r")
+    tests = [(regex.has("m", r.pattern, r.flags), regex.gated(regex.has("m", r.pattern, r.flags), r.pattern, "low_m")) for r in known]
+    got = df.selectExpr(*[f"count_if({a}) AS a{n}" for n, (a, _) in enumerate(tests)], *[f"count_if(({a}) <> ({b})) AS b{n}" for n, (a, b) in enumerate(tests)]).first().asDict()
+    assert sum(v for k, v in got.items() if k[0] == "a") > 50 and not any(v for k, v in got.items() if k[0] == "b")
+    assert df.filter(tests[[r.rule_id for r in known].index("BFL001")][1]).filter("m LIKE '%ſ%'").count() == 1
