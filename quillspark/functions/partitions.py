@@ -19,7 +19,12 @@ def file_bytes(*dfs: DataFrame) -> int:
     return total
 
 
-def spread(df: DataFrame, *keys: str, like: DataFrame | None = None, task_bytes: int | None = None) -> DataFrame:
-    """df dealt out by keys over a task for each task_bytes (TASK_BYTES) of its files (or those of `like`); as it is where the session makes as many."""
+def spread(df: DataFrame, *keys: str, like: DataFrame | None = None, task_bytes: int | None = None, always: bool = False) -> DataFrame:
+    """df dealt out by keys over a task for each task_bytes (TASK_BYTES) of its files (or those of `like`).
+
+    Where the session makes as many shuffle partitions, df stays as it is, or is dealt out over that many if `always`:
+    for few rows of which many are made, as a shuffle that Spark itself plans would go by their bytes.
+    """
     n = -(-file_bytes(df if like is None else like) // (task_bytes or TASK_BYTES))
-    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(n, usual), *keys) if always or n > usual else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.regex import has, lit, spans, strip
+from ..functions.regex import folded, gated, has, lit, spans, strip
 from .paragraphs import in_doc
 from .rules import ERROR, WARNING
 
@@ -29,32 +29,36 @@ def _title_case(r: str) -> str:
     return f"exists(transform(array({title}), t -> size({kept})), n -> n >= 2)"
 
 
-#: rule, severity, section, SQL over r.
+def _has(pattern: str, flags: str = "") -> str:
+    return gated(has("r", pattern, flags), pattern, "low")
+
+
+#: rule, severity, section, SQL over r and low, which is r folded().
 ENTRY_RULES = (
-    ("REF001", WARNING, "9.34", has("r", r"http://doi\.org/|http://dx\.doi\.org/", "i")),
-    ("REF002", WARNING, "9.34", has("r", r"\bDOI:\s*10\.|\bdoi:\s*10\.", "i")),
-    ("REF003", WARNING, "9.34", has("r", r"\bRetrieved\s+from\s+https?://", "i")),
-    ("REF004", WARNING, "9.34", has("r", r"\bAccessed\s+from\s+https?://", "i")),
-    ("REF005", WARNING, "9.34", has("r", r"https?://\S+\.\s*$")),
-    ("REF006", ERROR, "9.14", f"({has('r', r'\(nd\)|\(n\.d\)|\(no\s+date\)|\(no-date\)', 'i')} OR {has('r', r'\(N\.D\.\)')})"),
-    ("REF007", WARNING, "9.8", f"({has('r', _ENTRY_AND)} OR {has('r', _ENTRY_AND_FULL)})"),
-    ("REF008", ERROR, "9.8", has("r", r"\bet\s+al\.?\b", "i")),
-    ("REF009", WARNING, "9.19", has("r", r"\((?:\d+(?:st|nd|rd|th)\s+)?edition\)", "i")),
-    ("REF022", WARNING, "9.10", has("r", r"\bEditors\b(?!\s+\()", "i")),
-    ("REF010", WARNING, "9.29", has("r", r"\b(Inc\.|Ltd\.|LLC|L\.L\.C\.|Co\.)\s", "i")),
-    ("REF011", WARNING, "9.13", has("r", r"\(\d{4}(?:[a-z])?\)\s+[A-Z]")),
-    ("REF012", WARNING, "9.14", has("r", r"\(in-press\)|\(In Press\)|\(In press\)")),
-    ("REF013", WARNING, "9.25", has("r", r"(\d+)\s+\((\d+)\)")),
-    ("REF014", WARNING, "9.27", f"({has('r', r'\barticle\s+[a-zA-Z0-9]+', 'i')} AND NOT {has('r', r'\bArticle\s+[a-zA-Z0-9]+')})"),
-    ("REF015", WARNING, "9.39", f"({has('r', r'\bTrans\.\)', 'i')} AND NOT {has('r', r'\(Original\s+work\s+published\s+\d{4}\)', 'i')})"),
-    ("REF016", WARNING, "9.40", has("r", r"\boriginally\s+published\b|\bfirst\s+published\b", "i")),
-    ("REF017", WARNING, "6.27", has("r", r"\b\d+\s*(?:kgs|cms|mgs|mls|lbs|hrs|mins|secs)\b", "i")),
-    ("REF023", WARNING, "9.34", has("r", r"\bISBN[:\s]|\bISSN[:\s]", "i")),
+    ("REF001", WARNING, "9.34", _has(r"http://doi\.org/|http://dx\.doi\.org/", "i")),
+    ("REF002", WARNING, "9.34", _has(r"\bDOI:\s*10\.|\bdoi:\s*10\.", "i")),
+    ("REF003", WARNING, "9.34", _has(r"\bRetrieved\s+from\s+https?://", "i")),
+    ("REF004", WARNING, "9.34", _has(r"\bAccessed\s+from\s+https?://", "i")),
+    ("REF005", WARNING, "9.34", _has(r"https?://\S+\.\s*$")),
+    ("REF006", ERROR, "9.14", f"({_has(r'\(nd\)|\(n\.d\)|\(no\s+date\)|\(no-date\)', 'i')} OR {_has(r'\(N\.D\.\)')})"),
+    ("REF007", WARNING, "9.8", f"({_has(_ENTRY_AND)} OR {_has(_ENTRY_AND_FULL)})"),
+    ("REF008", ERROR, "9.8", _has(r"\bet\s+al\.?\b", "i")),
+    ("REF009", WARNING, "9.19", _has(r"\((?:\d+(?:st|nd|rd|th)\s+)?edition\)", "i")),
+    ("REF022", WARNING, "9.10", _has(r"\bEditors\b(?!\s+\()", "i")),
+    ("REF010", WARNING, "9.29", _has(r"\b(Inc\.|Ltd\.|LLC|L\.L\.C\.|Co\.)\s", "i")),
+    ("REF011", WARNING, "9.13", _has(r"\(\d{4}(?:[a-z])?\)\s+[A-Z]")),
+    ("REF012", WARNING, "9.14", _has(r"\(in-press\)|\(In Press\)|\(In press\)")),
+    ("REF013", WARNING, "9.25", _has(r"(\d+)\s+\((\d+)\)")),
+    ("REF014", WARNING, "9.27", f"({_has(r'\barticle\s+[a-zA-Z0-9]+', 'i')} AND NOT {_has(r'\bArticle\s+[a-zA-Z0-9]+')})"),
+    ("REF015", WARNING, "9.39", f"({_has(r'\bTrans\.\)', 'i')} AND NOT {_has(r'\(Original\s+work\s+published\s+\d{4}\)', 'i')})"),
+    ("REF016", WARNING, "9.40", _has(r"\boriginally\s+published\b|\bfirst\s+published\b", "i")),
+    ("REF017", WARNING, "6.27", _has(r"\b\d+\s*(?:kgs|cms|mgs|mls|lbs|hrs|mins|secs)\b", "i")),
+    ("REF023", WARNING, "9.34", _has(r"\bISBN[:\s]|\bISSN[:\s]", "i")),
     ("REF024", WARNING, "9.19", _title_case("r")),
-    ("REF025", ERROR, "8.9", has("r", r"\bpersonal\s+communication\b", "i")),
+    ("REF025", ERROR, "8.9", _has(r"\bpersonal\s+communication\b", "i")),
     ("REF018", WARNING, "9.44", "key < before"),
-    ("REF019", ERROR, "9.43", has("r", r"^\s*Bibliography\s*$", "i")),
-    ("REF020", WARNING, "9.43", has("r", r"^\s*Reference\s*$")),
+    ("REF019", ERROR, "9.43", _has(r"^\s*Bibliography\s*$", "i")),
+    ("REF020", WARNING, "9.43", _has(r"^\s*Reference\s*$")),
 )
 
 
@@ -67,7 +71,7 @@ def sort_key(text: str) -> str:
 
 def entry_findings(paragraphs: DataFrame) -> DataFrame:
     """One row per entry and rule; all rules of an entry are tested in one pass over its text."""
-    rows = paragraphs.filter("is_ref").withColumn("key", F.expr(sort_key("r")))
+    rows = paragraphs.filter("is_ref").withColumns({"key": F.expr(sort_key("r")), "low": F.expr(folded("r"))})
     rows = rows.withColumn("before", F.lag("key").over(in_doc()))
     one = lambda n, rule: f"IF({rule[3]}, named_struct('rule_id', '{rule[0]}', 'severity', '{rule[1]}', 'rank', {n}), null)"
     rows = rows.selectExpr("doc_id", "idx", "r", f"inline(array_compact(array({', '.join(one(n, r) for n, r in enumerate(ENTRY_RULES))})))")
